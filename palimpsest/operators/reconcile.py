@@ -185,20 +185,28 @@ def diff_hunks(
     )
 
 
-def boundary_map(positions: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Map base positions (`doc_id, position`) to variant coordinates.
+def boundary_map(
+    positions: DataFrame,
+    hunks: DataFrame,
+    *,
+    keys: Sequence[str] = ("doc_id",),
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Map base positions (`keys, position, carry`) to variant coordinates.
 
     `mapped` is NULL strictly inside a replacement; `mapped_after_insert` falls behind an
-    insertion made exactly at the position. One window per document, no range join.
+    insertion made exactly at the position. `left_edge`/`right_edge` are the nearest mappable
+    positions outwards, with their images. One window per document, no range join.
     """
     blank = F.lit(None).cast("struct<start:bigint,end:bigint,vs:bigint,ve:bigint>")
     asked = positions.select(
-        "doc_id", F.col("position").cast("long").alias("at"), F.lit(1).alias("rank"),
-        blank.alias("hunk"),
-    ).distinct()
+        *keys, F.col("position").cast("long").alias("at"), F.lit(1).alias("rank"),
+        blank.alias("hunk"), *carry,
+    )
+    types = dict(positions.dtypes)
     known = hunks.select(
-        "doc_id",
-        F.col("start").alias("at"),
+        *keys,
+        F.col("start").cast("long").alias("at"),
         F.when(F.col("start") == F.col("end"), 0).otherwise(2).alias("rank"),
         F.struct(
             F.col("start").cast("long").alias("start"),
@@ -206,9 +214,10 @@ def boundary_map(positions: DataFrame, hunks: DataFrame) -> DataFrame:
             F.col("variant_start").cast("long").alias("vs"),
             F.col("variant_end").cast("long").alias("ve"),
         ).alias("hunk"),
+        *[F.lit(None).cast(types[c]).alias(c) for c in carry],
     )
     order = (
-        Window.partitionBy("doc_id")
+        Window.partitionBy(*keys)
         .orderBy("at", "rank")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -218,16 +227,19 @@ def boundary_map(positions: DataFrame, hunks: DataFrame) -> DataFrame:
         .where(F.col("rank") == 1)
     )
     p, h = F.col("at"), F.col("h")
-    after = (
-        F.when(h.isNull(), p)
-        .when(h["end"] > p, None)
-        .otherwise(p + h["ve"] - h["end"])
-    )
+    inside = F.coalesce(h["end"] > p, F.lit(False)) & (h["start"] < p)
+    after = F.when(h.isNull(), p).otherwise(p + h["ve"] - h["end"])
+    before = F.when(h["start"] == p, h["vs"]).otherwise(after)
     return seen.select(
-        "doc_id",
+        *keys,
         p.alias("position"),
-        F.when(h["start"] == p, h["vs"]).otherwise(after).alias("mapped"),
-        after.alias("mapped_after_insert"),
+        *carry,
+        F.when(~inside, before).alias("mapped"),
+        F.when(~inside, after).alias("mapped_after_insert"),
+        F.when(inside, h["start"]).otherwise(p).alias("left_edge"),
+        F.when(inside, h["vs"]).otherwise(before).alias("left_image"),
+        F.when(inside, h["end"]).otherwise(p).alias("right_edge"),
+        F.when(inside, h["ve"]).otherwise(after).alias("right_image"),
     )
 
 

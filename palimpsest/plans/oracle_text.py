@@ -155,26 +155,44 @@ def hunks_sql(out: str, variant: str) -> str:
                  base_text AS original, variant_text AS replacement FROM g_{out})"""
 
 
-def boundary_sql(out: str, positions: str, hunks: str) -> str:
-    """Maps `positions` (doc_id, position) by asking each hunk list in order."""
-    return f"""{out}_q AS (SELECT DISTINCT doc_id, CAST(position AS BIGINT) AS p FROM {positions}),
-{out}_u AS (
-  SELECT doc_id, p AS at_, 1 AS rank_,
-    CAST(NULL AS STRUCT(s BIGINT, e BIGINT, vs BIGINT, ve BIGINT)) AS h FROM {out}_q
+def boundary_sql(out: str, positions: str, hunks: str, keys: str = "doc_id", carry: str = ""):
+    """Maps `positions` (keys, position, carry) by asking each hunk list in order."""
+    extra = f", {carry}" if carry else ""
+    blanks = "".join(f", NULL AS {c.strip()}" for c in carry.split(",")) if carry else ""
+    return f"""{out}_u AS (
+  SELECT {keys}, CAST(position AS BIGINT) AS at_, 1 AS rank_,
+         CAST(NULL AS STRUCT(s BIGINT, e BIGINT, vs BIGINT, ve BIGINT)) AS h{extra}
+  FROM {positions}
   UNION ALL
-  SELECT doc_id, start_, CASE WHEN start_ = end_ THEN 0 ELSE 2 END,
-         {{'s': start_, 'e': end_, 'vs': variant_start, 've': variant_end}} FROM {hunks}),
-{out}_l AS (SELECT doc_id, at_ AS p, rank_, last_value(h IGNORE NULLS) OVER (
-  PARTITION BY doc_id ORDER BY at_, rank_ ROWS UNBOUNDED PRECEDING) AS h FROM {out}_u),
+  SELECT {keys}, start_, CASE WHEN start_ = end_ THEN 0 ELSE 2 END,
+         {{'s': start_, 'e': end_, 'vs': variant_start, 've': variant_end}}{blanks} FROM {hunks}),
+{out}_l AS (SELECT {keys}, at_ AS p, rank_{extra}, last_value(h IGNORE NULLS) OVER (
+  PARTITION BY {keys} ORDER BY at_, rank_ ROWS UNBOUNDED PRECEDING) AS h FROM {out}_u),
 {out} AS (
-  SELECT doc_id, p AS position,
+  SELECT {keys}, p AS position{extra},
     CASE WHEN h IS NULL THEN p WHEN h.s = p THEN h.vs WHEN h.e > p THEN NULL
          ELSE p + h.ve - h.e END AS mapped,
-    CASE WHEN h IS NULL THEN p WHEN h.e > p THEN NULL ELSE p + h.ve - h.e END
-      AS mapped_after_insert
+    CASE WHEN h IS NULL THEN p WHEN h.s < p AND h.e > p THEN NULL WHEN h.s = p AND h.e > p
+         THEN h.vs ELSE p + h.ve - h.e END AS mapped_after_insert,
+    CASE WHEN h.s < p AND h.e > p THEN h.s ELSE p END AS left_edge,
+    CASE WHEN h.s < p AND h.e > p THEN h.vs WHEN h.s = p THEN h.vs
+         ELSE p + coalesce(h.ve - h.e, 0) END AS left_image,
+    CASE WHEN h.s < p AND h.e > p THEN h.e ELSE p END AS right_edge,
+    CASE WHEN h.s < p AND h.e > p THEN h.ve ELSE p + coalesce(h.ve - h.e, 0) END AS right_image
   FROM {out}_l WHERE rank_ = 1)"""
 
 
+def framed_sql(*fields: str) -> str:
+    return "(" + " || ".join(
+        f"coalesce(length(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')"
+        for f in fields
+    ) + ")"
+
+
+def id_sql(prefix: str, *fields: str, size: int = 64) -> str:
+    return f"'{prefix}' || substr(sha256({framed_sql(*fields)}), 1, {size})"
+
+
 def category_sql(base: str, variant: str) -> str:
     """CASE over alias h (hunk columns) joined with t (texts)."""
 

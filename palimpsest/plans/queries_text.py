@@ -5,22 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.materialize import stage
 from palimpsest.operators import reconcile as R
 from palimpsest.plans import oracle_text as O
 from palimpsest.plans.recipes_text import transcripts
+from palimpsest.plans.registry import Registry
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(key: str, oracle: str | None = None):
-    def register(function):
-        QUERIES[key] = function
-        if oracle is not None:
-            ORACLES[key] = oracle
-        return function
-
-    return register
+registry = Registry()
+query = registry.query
 
 
 @query(
@@ -63,10 +55,14 @@ def diff_hunks(spark: SparkSession, folder: str) -> DataFrame:
 )
 def boundary_map(spark: SparkSession, folder: str) -> DataFrame:
     texts = transcripts(spark, folder)
-    edges = R.merge_components(texts).select(
+    edges = stage(spark, folder, "components", lambda: R.merge_components(texts)).select(
         "doc_id", F.explode(F.array("start", "end")).alias("position")
     )
-    return R.boundary_map(edges, R.diff_hunks(texts, "peer"))
+    mapped = R.boundary_map(
+        edges.distinct(),
+        stage(spark, folder, "peer_hunks", lambda: R.diff_hunks(texts, "peer")),
+    )
+    return mapped.select("doc_id", "position", "mapped", "mapped_after_insert")
 
 
 @query(
@@ -109,3 +105,6 @@ def hunk_category(spark: SparkSession, folder: str) -> DataFrame:
 )
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     return R.reconcile(transcripts(spark, folder))
+
+
+QUERIES, ORACLES = registry.queries, registry.oracles
