@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import queries_media_text, queries_selection, queries_text
+from palimpsest.plans import queries_media_text, queries_runs, queries_selection, queries_text
 
 QUERIES = {}
 ORACLES = {}
-for module in (queries_text, queries_selection, queries_media_text):
+for module in (queries_text, queries_selection, queries_media_text, queries_runs):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
