@@ -9,7 +9,7 @@ from palimpsest.sources.tables import table, wall_ms
 
 # name -> (source tables, SQL with {source} placeholders). `ev` is events plus epoch `ms`.
 RECIPES: dict[str, tuple[tuple[str, ...], str]] = {}
-EV_SQL = "ev AS (SELECT *, epoch_ms(ts) AS ms FROM events)"
+EV_SQL = "ev AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
