@@ -195,24 +195,24 @@ SELECT c_custkey AS user_id, CASE WHEN c_custkey % 7 = 0 THEN 'suspended' ELSE '
 RECIPES["identities"] = (("customer",), """
 SELECT c_custkey * 10 AS identity_id, c_custkey AS user_id, 'phone' AS provider,
        CASE WHEN c_custkey % 97 = 0 THEN '0' || CAST(c_custkey AS STRING)
-         ELSE '+86' || lpad(CAST(c_custkey AS STRING), 11, '1') END AS subject,
+         ELSE '+86' || lpad(CAST(c_custkey AS STRING), 11, '0') END AS subject,
        CASE WHEN c_custkey % 41 = 0 THEN 'detached' ELSE 'active' END AS status,
        CASE WHEN c_custkey % 41 = 0 THEN c_custkey * 10 + 2 END AS replaced_by,
        CASE WHEN c_custkey % 19 = 0 THEN 'blocked' ELSE 'normal' END AS phone_status
 FROM {customer}
 UNION ALL
 SELECT c_custkey * 10 + 1, c_custkey, 'phone',
-       '+87' || lpad(CAST(c_custkey AS STRING), 11, '1'), 'active', NULL, 'normal'
+       '+87' || lpad(CAST(c_custkey AS STRING), 11, '0'), 'active', NULL, 'normal'
 FROM {customer} WHERE c_custkey % 53 = 0
 UNION ALL
 SELECT c_custkey * 10 + 2, c_custkey, 'phone',
-       '+88' || lpad(CAST(c_custkey AS STRING), 11, '1'),
+       '+88' || lpad(CAST(c_custkey AS STRING), 11, '0'),
        CASE WHEN c_custkey % 82 = 0 THEN 'detached' ELSE 'active' END,
        CASE WHEN c_custkey % 82 = 0 THEN c_custkey * 10 + 3 END, 'normal'
 FROM {customer} WHERE c_custkey % 41 = 0
 UNION ALL
 SELECT c_custkey * 10 + 3, c_custkey, 'phone',
-       '+89' || lpad(CAST(c_custkey AS STRING), 11, '1'), 'active', NULL, 'normal'
+       '+89' || lpad(CAST(c_custkey AS STRING), 11, '0'), 'active', NULL, 'normal'
 FROM {customer} WHERE c_custkey % 82 = 0
 UNION ALL
 SELECT c_custkey * 10 + 4, c_custkey, 'email',
