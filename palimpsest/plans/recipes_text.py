@@ -15,7 +15,7 @@ VARIANTS = {
 }
 
 
-def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+def with_variants(documents: DataFrame) -> DataFrame:
     base = F.col("text")
     columns = []
     for name, changes in VARIANTS.items():
@@ -23,7 +23,11 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
         for old, new in changes:
             text = F.replace(text, F.lit(old), F.lit(new))
         columns.append(text.alias(name))
-    return table(spark, folder, "documents").select("doc_id", base.alias("base"), *columns)
+    return documents.select("doc_id", base.alias("base"), *columns)
+
+
+def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    return with_variants(table(spark, folder, "documents"))
 
 
 def transcripts_sql() -> str:
