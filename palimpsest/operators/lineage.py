@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.chains import chain_roots
 from palimpsest.functions.hashing import content_hash, framed
-from palimpsest.functions.ordered import previous
+from palimpsest.functions.ordered import previous, running
 
 # Which stage feeds which. Fewer than 200 rows, so closures are broadcast.
 STAGE_EDGES = (
@@ -253,13 +253,11 @@ def usage_ledger(invocations: DataFrame) -> DataFrame:
     )
 
 
-def latest_references(preparations: DataFrame, current_round: int) -> DataFrame:
+def latest_references(preparations: DataFrame, current_round: int, width: int = 65_536) -> DataFrame:
     """Latest preparation per (run, ordinal) up to a round; available ones get dense ordinals.
 
-    A second row of the same round is ignored. The ordinals of one run are its input files.
+    A second row of the same round is ignored.
     """
-    from pyspark.sql import Window
-
     first = (
         preparations.where(F.col("round") <= current_round)
         .groupBy("run_id", "ordinal", "round")
@@ -269,13 +267,17 @@ def latest_references(preparations: DataFrame, current_round: int) -> DataFrame:
         F.max("round").alias("round"), F.max_by("status", "round").alias("status")
     )
     available = F.col("status") == "available"
-    order = Window.partitionBy("run_id", "status").orderBy("ordinal")
-    return latest.withColumn(
-        "effective_ordinal", F.when(available, (F.row_number().over(order) - 1).cast("long"))
+    numbered = running(
+        latest.withColumn("part", F.floor(F.col("ordinal") / width)),
+        ["run_id"], ["ordinal"], "part",
+        upto=("sum", F.when(available, 1).otherwise(0)),
     )
+    return numbered.withColumn(
+        "effective_ordinal", F.when(available, F.col("upto") - 1)
+    ).drop("part", "upto")
 
 
-def checkpoint_upsert(requests: DataFrame, width: int = 4096) -> DataFrame:
+def checkpoint_upsert(requests: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Final checkpoint per key: revision grows with each other artifact; digests must agree."""
     keys = ["run_id", "round", "stage", "scope"]
     rows = previous(
@@ -417,8 +419,6 @@ def latency_quantiles(samples: DataFrame) -> DataFrame:
     samples: `operation, value` (integer). Equal values are counted before the shuffle, and
     ranks come from sliced running sums, so no operation is sorted in one task.
     """
-    from palimpsest.functions.ordered import running
-
     counts = samples.groupBy("operation", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = running(
         counts.withColumn("part", F.floor(F.col("value") / 1000)),

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from palimpsest.functions.materialize import materialize
 from palimpsest.functions.ordered import previous, running
 
-# The window, the first cooldown and the longest one.
+# The window, the first cooldown, the longest one, and the time slice that
+# bounds how many attempts of one bucket a task sees together.
 WINDOW_MS = 15 * 60 * 1000
 FIRST_COOLDOWN_S = 30
 MAX_COOLDOWN_S = 15 * 60
-SLICE_MS = 60 * 60 * 1000
+SLICE_MS = 60 * 1000
 
 
 def cooldown_ms(excess: int) -> int:

@@ -95,10 +95,9 @@ def stable_anchors(gaps: DataFrame, sides: Sequence[str], level: str) -> DataFra
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     kept = shared
-    for side in sides[1:]:
-        kept = kept.withColumn(f"{side}_hi", F.max(f"{side}_pos").over(ahead))
-    for side in sides[1:]:
-        kept = kept.withColumn(f"{side}_lo", F.min(f"{side}_pos").over(behind))
+    # descending first: the ascending order then also serves the windows of `refine`
+    kept = kept.withColumns({f"{s}_lo": F.min(f"{s}_pos").over(behind) for s in sides[1:]})
+    kept = kept.withColumns({f"{s}_hi": F.max(f"{s}_pos").over(ahead) for s in sides[1:]})
     for side in sides[1:]:
         kept = kept.where(
             (F.coalesce(F.col(f"{side}_hi"), F.lit(-1)) < F.col(f"{side}_pos"))
@@ -115,9 +114,12 @@ def refine(gaps: DataFrame, sides: Sequence[str], level: str) -> DataFrame:
     gaps = spread(gaps, "unit")
     order = Window.partitionBy("unit").orderBy(f"{sides[0]}_pos")
     marks = stable_anchors(gaps, sides, level)
-    for side in sides:
-        end = F.col(f"{side}_pos") + F.length("token")
-        marks = marks.withColumn(f"{side}_from", F.lag(end, 1, 0).over(order))
+    marks = marks.withColumns(
+        {
+            f"{s}_from": F.lag(F.col(f"{s}_pos") + F.length("token"), 1, 0).over(order)
+            for s in sides
+        }
+    )
     parts = gaps.join(marks, "unit").select(
         F.struct(
             F.col("unit.doc_id").alias("doc_id"),
@@ -291,61 +293,56 @@ def merge_components(texts: DataFrame, *, levels: Sequence[str] = LEVELS) -> Dat
     )
 
 
-def apply_edits(texts: DataFrame, edits: DataFrame, output: str = "preview") -> DataFrame:
-    """Rebuild each document from its base and sorted, non-overlapping edits.
-
-    The edits of one document are bounded by the document itself, which already is one cell.
-    """
-    lists = edits.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits")
-    )
-    joined = texts.select("doc_id", "base").join(lists, "doc_id", "left")
+def _rebuilt() -> Column:
+    """The base text of a row with its sorted `edits` applied."""
 
     def part(edit: Column, index: Column) -> Column:
         begin = F.when(index > 0, F.get("edits", index - 1)["end"]).otherwise(F.lit(0))
         return F.concat(piece(F.col("base"), begin, edit["start"]), edit["replacement"])
 
-    last = F.element_at("edits", -1)["end"]
-    rebuilt = F.concat(
+    applied = F.concat(
         F.array_join(F.transform("edits", part), ""),
-        piece(F.col("base"), last, F.length("base")),
+        piece(F.col("base"), F.element_at("edits", -1)["end"], F.length("base")),
     )
-    return joined.select(
-        "doc_id", F.when(F.col("edits").isNull(), F.col("base")).otherwise(rebuilt).alias(output)
+    return F.when(F.col("edits").isNull(), F.col("base")).otherwise(applied)
+
+
+def apply_edits(texts: DataFrame, edits: DataFrame, output: str = "preview") -> DataFrame:
+    """Rebuild each document from its base and sorted, non-overlapping edits.
+
+    The edits of one document are bounded by the document itself, which already is one cell.
+    """
+    lists = (
+        spread(edits.select("doc_id", "start", "end", "replacement"), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
     )
+    joined = spread(texts.select("doc_id", "base"), "doc_id").join(lists, "doc_id", "left")
+    return joined.select("doc_id", _rebuilt().alias(output))
+
+
+# Component states and the names of their counts.
+STATE_COUNTS = (
+    ("conflict", "conflicts"), ("singleton", "singletons"), ("agreement", "agreements"),
+)
 
 
 def reconcile(texts: DataFrame, *, levels: Sequence[str] = LEVELS) -> DataFrame:
     """Three-way merge of every document: preview text and component counts."""
     components = merge_components(texts, levels=levels)
-    lists = components.groupBy("doc_id").agg(
-        *[
-            F.count_if(F.col("state") == state).alias(name)
-            for state, name in (
-                ("conflict", "conflicts"),
-                ("singleton", "singletons"),
-                ("agreement", "agreements"),
-            )
-        ],
-        F.sort_array(
-            F.collect_list(F.struct("start", "end", F.col("merged").alias("replacement")))
-        ).alias("edits"),
-    )
-    joined = texts.select("doc_id", "base").join(lists, "doc_id", "left")
-
-    def part(edit: Column, index: Column) -> Column:
-        begin = F.when(index > 0, F.get("edits", index - 1)["end"]).otherwise(F.lit(0))
-        return F.concat(piece(F.col("base"), begin, edit["start"]), edit["replacement"])
-
-    rebuilt = F.concat(
-        F.array_join(F.transform("edits", part), ""),
-        piece(F.col("base"), F.element_at("edits", -1)["end"], F.length("base")),
+    lists = (
+        spread(components.select("doc_id", "start", "end", "merged", "state"), "doc_id")
+        .groupBy("doc_id")
+        .agg(
+            *[F.count_if(F.col("state") == state).alias(name) for state, name in STATE_COUNTS],
+            F.sort_array(
+                F.collect_list(F.struct("start", "end", F.col("merged").alias("replacement")))
+            ).alias("edits"),
+        )
     )
+    joined = spread(texts.select("doc_id", "base"), "doc_id").join(lists, "doc_id", "left")
     return joined.select(
         "doc_id",
-        F.when(F.col("edits").isNull(), F.col("base")).otherwise(rebuilt).alias("preview"),
-        *[
-            F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-            for c in ("conflicts", "singletons", "agreements")
-        ],
+        _rebuilt().alias("preview"),
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for _, c in STATE_COUNTS],
     )

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions.hashing import length_prefixed
 from palimpsest.functions.ordered import previous, running
 
-# Bans that block a phone, and the ledger slice that windows work on.
+# Bans that block a phone, and the ids per slice that windows work on.
 BAN_THRESHOLD = 3
-WIDTH = 4096
+WIDTH = 1 << 20
 
 
 def _sliced(frame: DataFrame, column: str) -> DataFrame:

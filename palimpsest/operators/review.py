@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import text_id
+from palimpsest.functions.ordered import following
 from palimpsest.functions.text import piece
 from palimpsest.operators.reconcile import apply_edits
 
+# Base positions per slice, so that one document's patches need not meet in one task.
+SLICE = 65_536
+
 
 def checked_patches(texts: DataFrame, patches: DataFrame) -> DataFrame:
     """Apply patches per document, or reject the document with the first reason found.
@@ -16,10 +20,9 @@ def checked_patches(texts: DataFrame, patches: DataFrame) -> DataFrame:
     Rejected are intervals outside the text, overlaps, equal starts, and patches whose
     `original` is no longer what the base holds.
     """
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    following = patches.withColumn("next", F.lead("start").over(order))
-    base = texts.select("doc_id", "base")
-    joined = following.join(base, "doc_id")
+    sliced = patches.withColumn("part", F.floor(F.col("start") / SLICE))
+    ahead = following(sliced, ["doc_id"], ["start", "end"], "part", next=F.col("start"))
+    joined = ahead.join(texts.select("doc_id", "base"), "doc_id")
     outside = (
         (F.col("start") < 0)
         | (F.col("start") > F.col("end"))

@@ -352,20 +352,28 @@ def decision_coverage(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     candidate_id.
     """
     keys = ["doc_id", "batch_id", "case_id"]
-    given = decisions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("uses"), F.collect_set("candidate_id").alias("chosen")
+    options = cases.select(*keys, F.explode("candidate_ids").alias("candidate_id")).withColumn(
+        "offered", F.lit(True)
+    )
+    counted = decisions.groupBy(*keys, "candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    given = (
+        counted.join(options, [*keys, "candidate_id"], "left")
+        .groupBy(*keys)
+        .agg(
+            F.sum("n").alias("uses"),
+            F.count_if(F.col("offered").isNull()).alias("strangers"),
+        )
     )
     both = cases.withColumn("known", F.lit(True)).join(given, keys, "full_outer")
     known = F.col("known").isNotNull()
     uses = F.coalesce(F.col("uses"), F.lit(0))
-    stranger = F.size(F.array_except("chosen", "candidate_ids")) > 0
     report = both.groupBy("doc_id", "batch_id").agg(
         F.count_if(known).alias("cases"),
         F.sum(uses).alias("decisions"),
         F.count_if(known & (uses == 0)).alias("missing"),
         F.count_if(uses > 1).alias("duplicated"),
         F.count_if(~known).alias("unknown_case"),
-        F.count_if(known & (uses > 0) & stranger).alias("unknown_candidate"),
+        F.count_if(known & (F.col("strangers") > 0)).alias("unknown_candidate"),
     )
     faults = (
         F.col("missing") + F.col("duplicated") + F.col("unknown_case")

@@ -12,7 +12,7 @@ SAMPLE_RATE = 16_000
 WIDE = "decimal(38,0)"
 
 
-def packet_continuity(packets: DataFrame, *, width: int = 4096) -> DataFrame:
+def packet_continuity(packets: DataFrame, *, width: int = 1 << 20) -> DataFrame:
     """First anomaly of each stream. An unusable packet is one, and resets the expectation.
 
     packets: `stream_id, ordinal, pts, duration`, ordinals counting from 0.

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ordered import following, previous
 
-SLICE = 4096
+SLICE = 65_536
 
 
 def _sliced(units: DataFrame) -> DataFrame:
@@ -57,16 +57,20 @@ def diagnostics(units: DataFrame, inputs: DataFrame) -> DataFrame:
         F.count_if(end < start).alias("reversed_interval_count"),
         F.count_if(end == start).alias("zero_duration_count"),
         F.count_if(F.col("next_start").isNotNull() & overlap).alias("overlap_count"),
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda u: u["text"]
-            ),
-            "",
-        ).alias("output"),
     )
-    joined = inputs.join(counted, "doc_id", "left")
-    output = F.coalesce("output", F.lit(""))
     size = F.length("audio_text").cast("long")
+    # only an output of the input's length can be identical, so what is gathered is bounded
+    same_length = counted.join(inputs, "doc_id").where(F.col("output_length") == size)
+    spoken = (
+        units.where(F.col("text") != "")
+        .join(same_length.select("doc_id"), "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("u"))
+        .select("doc_id", F.array_join(F.transform("u", lambda u: u["text"]), "").alias("output"))
+    )
+    joined = inputs.join(counted, "doc_id", "left").join(spoken, "doc_id", "left")
+    identical = F.coalesce(F.col("output") == F.col("audio_text"), F.col("audio_text") == "")
+    identical = identical & (F.coalesce("output_length", F.lit(0)) == size)
     numbers = [
         F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
         for c in (
@@ -76,7 +80,7 @@ def diagnostics(units: DataFrame, inputs: DataFrame) -> DataFrame:
     ]
     return joined.select(
         "doc_id",
-        F.when(output == F.col("audio_text"), "identical").otherwise("differs").alias("relation"),
+        F.when(identical, "identical").otherwise("differs").alias("relation"),
         size.alias("input_length"),
         (F.coalesce("output_length", F.lit(0)) - size).alias("length_delta"),
         *numbers,

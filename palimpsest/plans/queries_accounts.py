@@ -33,7 +33,7 @@ PACKETS_SQL = f"""{EV_SQL}, packets AS (SELECT stream_id, n AS ordinal,
 def packets(spark: SparkSession, folder: str) -> DataFrame:
     rows = events(spark, folder).select(
         F.col("user_id").alias("stream_id"), "event_id",
-        F.floor(F.col("event_id") / 4096).alias("part"),
+        F.floor(F.col("event_id") / (1 << 20)).alias("part"),
     )
     numbered = running(rows, ["stream_id"], ["event_id"], "part", n=("sum", F.lit(1)))
     n, e = F.col("n") - 1, F.col("event_id")

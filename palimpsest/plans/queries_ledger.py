@@ -444,14 +444,26 @@ def encrypt_column(spark: SparkSession, folder: str) -> DataFrame:
     return X.decrypt_audit(moved, "user_id", AES_KEY, KEY_1, PURPOSE)
 
 
-@query("redact_secrets")
+# RE2 has no look-behind, so the oracle keeps the character before the name instead.
+_CREDENTIAL_SQL = (
+    rf"(?i)(^|[^\p{{L}}\p{{N}}_-])((?:{X.NAMES})[\"']?\s*[:=]\s*){X.VALUES}".replace("'", "''")
+)
+_TAIL = (
+    ' X-Api-Key: abc; Authorization: Bearer def {"tos_secret_key": "ghi"} '
+    "echo fixture-secret/+1 fixture-secret%2F%2B1 X-Tt-Logid=trace-1"
+)
+
+
+@query(
+    "redact_secrets",
+    f"""SELECT doc_id, substr(c, 1, 4096) AS body, length(c) > 4096 AS body_truncated
+FROM (SELECT doc_id, regexp_replace(replace(replace('{_TAIL}' || text || '{_TAIL}',
+    'fixture-secret%2F%2B1', '[REDACTED]'), 'fixture-secret/+1', '[REDACTED]'),
+  '{_CREDENTIAL_SQL}', '\\1\\2[REDACTED]', 'g') AS c FROM documents)""",
+)
 def redact_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    tail = (
-        ' X-Api-Key: abc; Authorization: Bearer def {"tos_secret_key": "ghi"} '
-        "echo fixture-secret/+1 fixture-secret%2F%2B1 X-Tt-Logid=trace-1"
-    )
     rows = table(spark, folder, "documents").select(
-        "doc_id", F.concat(F.lit(tail), "text", F.lit(tail)).alias("message")
+        "doc_id", F.concat(F.lit(_TAIL), "text", F.lit(_TAIL)).alias("message")
     )
     return X.redact(rows, "message", ["fixture-secret/+1"])
 
