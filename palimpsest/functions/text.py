@@ -46,6 +46,28 @@ def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
+# Code points per block. A slice then costs a block, not the whole text before it.
+BLOCK = 4096
+
+
+def blocks(text: Column) -> Column:
+    """The text cut into blocks of equal length, for many slices of one long text."""
+    last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK))
+    )
+
+
+def block_piece(cut: Column, start: Column, end: Column) -> Column:
+    """Half-open slice [start, end) of a text given as its blocks."""
+    first = F.floor(start / BLOCK)
+    count = F.floor(end / BLOCK) - first + 1
+    near = F.array_join(F.slice(cut, (first + 1).cast("int"), count.cast("int")), "")
+    return F.substring(
+        near, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int")
+    )
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda left, right: left & right, conditions)
 

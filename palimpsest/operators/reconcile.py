@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import (
+    block_piece,
+    blocks,
     common_prefix,
     common_suffix,
     hunk_category,
@@ -120,7 +122,8 @@ def refine(gaps: DataFrame, sides: Sequence[str], level: str) -> DataFrame:
             for s in sides
         }
     )
-    parts = gaps.join(marks, "unit").select(
+    cut = gaps.select("unit", *[blocks(F.col(f"{s}_text")).alias(f"{s}_text") for s in sides])
+    parts = cut.join(marks, "unit").select(
         F.struct(
             F.col("unit.doc_id").alias("doc_id"),
             *[
@@ -129,7 +132,9 @@ def refine(gaps: DataFrame, sides: Sequence[str], level: str) -> DataFrame:
             ],
         ).alias("unit"),
         *[
-            piece(F.col(f"{s}_text"), F.col(f"{s}_from"), F.col(f"{s}_pos")).alias(f"{s}_text")
+            block_piece(F.col(f"{s}_text"), F.col(f"{s}_from"), F.col(f"{s}_pos")).alias(
+                f"{s}_text"
+            )
             for s in sides
         ],
     )
@@ -256,7 +261,8 @@ def classified_hunks(texts: DataFrame, hunks: DataFrame, variant: str) -> DataFr
         )
         return left, right
 
-    joined = hunks.join(texts.select("doc_id", "base", F.col(variant).alias("_variant")), "doc_id")
+    cut = spread(texts.select("doc_id", "base", F.col(variant).alias("_variant")), "doc_id")
+    joined = spread(hunks, "doc_id").join(cut, "doc_id")
     base_left, base_right = around(F.col("base"), "start", "end")
     variant_left, variant_right = around(F.col("_variant"), "variant_start", "variant_end")
     return joined.withColumn(
@@ -294,15 +300,15 @@ def merge_components(texts: DataFrame, *, levels: Sequence[str] = LEVELS) -> Dat
 
 
 def _rebuilt() -> Column:
-    """The base text of a row with its sorted `edits` applied."""
+    """The base text of a row, also given as `blocks`, with its sorted `edits` applied."""
 
     def part(edit: Column, index: Column) -> Column:
         begin = F.when(index > 0, F.get("edits", index - 1)["end"]).otherwise(F.lit(0))
-        return F.concat(piece(F.col("base"), begin, edit["start"]), edit["replacement"])
+        return F.concat(block_piece(F.col("blocks"), begin, edit["start"]), edit["replacement"])
 
     applied = F.concat(
         F.array_join(F.transform("edits", part), ""),
-        piece(F.col("base"), F.element_at("edits", -1)["end"], F.length("base")),
+        block_piece(F.col("blocks"), F.element_at("edits", -1)["end"], F.length("base")),
     )
     return F.when(F.col("edits").isNull(), F.col("base")).otherwise(applied)
 
@@ -318,6 +324,7 @@ def apply_edits(texts: DataFrame, edits: DataFrame, output: str = "preview") ->
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
     )
     joined = spread(texts.select("doc_id", "base"), "doc_id").join(lists, "doc_id", "left")
+    joined = joined.withColumn("blocks", blocks(F.col("base")))
     return joined.select("doc_id", _rebuilt().alias(output))
 
 
@@ -341,6 +348,7 @@ def reconcile(texts: DataFrame, *, levels: Sequence[str] = LEVELS) -> DataFrame:
         )
     )
     joined = spread(texts.select("doc_id", "base"), "doc_id").join(lists, "doc_id", "left")
+    joined = joined.withColumn("blocks", blocks(F.col("base")))
     return joined.select(
         "doc_id",
         _rebuilt().alias("preview"),

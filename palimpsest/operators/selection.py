@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import framed, text_id
-from palimpsest.functions.text import piece
+from palimpsest.functions.text import block_piece, blocks, piece
+from palimpsest.operators.reconcile import boundary_map, spread
 
 # Context sizes, stop marks and batch limits.
 CONTEXT_CHARS = 400
@@ -21,8 +22,6 @@ SOURCES = ("base", "a", "b", "peer")
 
 def conflict_cases(texts: DataFrame, components: DataFrame, peer_hunks: DataFrame) -> DataFrame:
     """One row per conflict with the interval and text of every source; peer may be NULL."""
-    from palimpsest.operators.reconcile import boundary_map
-
     conflicts = components.where(F.col("state") == "conflict")
     edges = conflicts.select(
         "doc_id",
@@ -36,10 +35,11 @@ def conflict_cases(texts: DataFrame, components: DataFrame, peer_hunks: DataFram
         F.max(F.when(F.col("edge") == 1, F.col("mapped"))).alias("peer_end"),
         F.max(F.when(F.col("edge") == 1, F.col("mapped_after_insert"))).alias("peer_after"),
     )
-    joined = conflicts.join(peer, ["doc_id", "start", "end"]).join(
-        texts.select("doc_id", "base", "peer"), "doc_id"
-    )
-    at_end = (F.col("end") == F.length("base")) | (F.col("start") == F.col("end"))
+    cut = spread(
+        texts.select("doc_id", F.length("base").alias("size"), "base", "peer"), "doc_id"
+    ).select("doc_id", "size", blocks(F.col("base")).alias("base"), blocks(F.col("peer")).alias("peer"))
+    joined = spread(conflicts.join(peer, ["doc_id", "start", "end"]), "doc_id").join(cut, "doc_id")
+    at_end = (F.col("end") == F.col("size")) | (F.col("start") == F.col("end"))
     right = F.when(at_end, F.col("peer_after")).otherwise(F.col("peer_end"))
     known = F.col("peer_start").isNotNull() & right.isNotNull()
     left_bound, right_bound = _context_bounds()
@@ -48,7 +48,7 @@ def conflict_cases(texts: DataFrame, components: DataFrame, peer_hunks: DataFram
         "a_start", "a_end", "a_text", "b_start", "b_end", "b_text",
         F.when(known, F.col("peer_start")).alias("peer_start"),
         F.when(known, right).alias("peer_end"),
-        F.when(known, piece(F.col("peer"), F.col("peer_start"), right)).alias("peer_text"),
+        F.when(known, block_piece(F.col("peer"), F.col("peer_start"), right)).alias("peer_text"),
         left_bound.alias("context_left"),
         right_bound.alias("context_right"),
     )
@@ -71,12 +71,12 @@ def _context_bounds() -> tuple[Column, Column]:
     near_left = F.greatest(start - CONTEXT_CHARS, F.lit(0))
     far_left = F.greatest(start - MAX_CONTEXT_CHARS, F.lit(0))
     open_left = F.regexp_extract(
-        piece(base, far_left, near_left), rf"[^{CONTEXT_STOPS}]*\z", 0
+        block_piece(base, far_left, near_left), rf"[^{CONTEXT_STOPS}]*\z", 0
     )
-    near_right = F.least(end + CONTEXT_CHARS, F.length(base))
-    far_right = F.least(end + MAX_CONTEXT_CHARS, F.length(base))
+    near_right = F.least(end + CONTEXT_CHARS, F.col("size"))
+    far_right = F.least(end + MAX_CONTEXT_CHARS, F.col("size"))
     open_right = F.regexp_extract(
-        piece(base, F.greatest(near_right - 1, F.lit(0)), far_right),
+        block_piece(base, F.greatest(near_right - 1, F.lit(0)), far_right),
         rf"\A[^{CONTEXT_STOPS}]*",
         0,
     )
@@ -145,8 +145,6 @@ def context_windows(
     texts: DataFrame, components: DataFrame, peer_hunks: DataFrame, cases: DataFrame
 ) -> DataFrame:
     """Text around each case in every source that covers it, widened to mappable edges."""
-    from palimpsest.operators.reconcile import boundary_map
-
     sides = F.array(
         *[
             F.struct(
@@ -196,8 +194,21 @@ def context_windows(
         F.max(F.when(F.col("edge") == 0, F.col("left_image"))).alias("context_start"),
         F.max(F.when(F.col("edge") == 1, F.col("right_image"))).alias("context_end"),
     )
-    joined = bounds.join(texts.select("doc_id", "base", "a", "b", "peer"), "doc_id")
-    text = F.coalesce(*[F.when(F.col("source") == s, F.col(s)) for s in SOURCES])
+    # one row per (document, source), so a row meets only the text it needs
+    long = texts.select(
+        "doc_id",
+        F.explode(
+            F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("text")) for s in SOURCES])
+        ).alias("t"),
+    )
+    cut = spread(long.select("doc_id", "t.source", "t.text"), "doc_id", "source").select(
+        "doc_id", "source", blocks(F.col("text")).alias("cut")
+    )
+    joined = spread(bounds, "doc_id", "source").join(cut, ["doc_id", "source"])
+    text = block_piece(F.col("cut"), F.col("context_start"), F.col("context_end"))
+    joined = joined.withColumn("near", text).withColumns(
+        {"left": F.col("from") - F.col("context_start"), "right": F.col("to") - F.col("context_start")}
+    )
     return joined.select(
         "doc_id",
         "case_id",
@@ -206,9 +217,9 @@ def context_windows(
         F.col("to").alias("end"),
         "context_start",
         "context_end",
-        piece(text, F.col("context_start"), F.col("from")).alias("before"),
-        piece(text, F.col("from"), F.col("to")).alias("target"),
-        piece(text, F.col("to"), F.col("context_end")).alias("after"),
+        piece(F.col("near"), F.lit(0), F.col("left")).alias("before"),
+        piece(F.col("near"), F.col("left"), F.col("right")).alias("target"),
+        piece(F.col("near"), F.col("right"), F.length("near")).alias("after"),
     )
 
 
