@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,13 +43,25 @@ def test_candidates_versions_and_contexts(chain):
 def test_packing(spark, chain):
     tight = S.budget_batches(chain[2], max_bytes=100).collect()
     assert [r.batch_no for r in tight] == [None] * 4
-    sizes = [10, 10, 500, 10, 60, 10, 10]
-    rows = [(1, i, i + 1, f"case_{i}", s) for i, s in enumerate(sizes)]
+    rng = random.Random(5)
+    rows, wanted = [], {}
+    for doc in range(5):
+        batch, pending = 1, []
+        for i in range(40):
+            size = rng.choice([5, 10, 20, 40, 60, 500])
+            rows.append((doc, i, i + 1, f"case_{i}", size))
+            if 12 + size > 100:
+                wanted[doc, i] = None
+                continue
+            if len(pending) == 3 or 12 + sum(pending) + len(pending) + size > 100:
+                batch, pending = batch + 1, []
+            pending.append(size)
+            wanted[doc, i] = batch
     frame = spark.createDataFrame(
         rows, "doc_id long, start long, end long, case_id string, bytes long"
     )
-    packed = S.budget_batches(frame, max_cases=3, max_bytes=100).orderBy("start").collect()
-    assert [r.batch_no for r in packed] == [1, 1, None, 1, 2, 2, 3]
+    packed = S.budget_batches(frame, max_cases=3, max_bytes=100).collect()
+    assert {(r.doc_id, r.start): r.batch_no for r in packed} == wanted
 
 
 def test_decision_faults_reject_their_batch_only(spark):
