@@ -63,9 +63,10 @@ def block_piece(cut: Column, start: Column, end: Column) -> Column:
     first = F.floor(start / BLOCK)
     count = F.floor(end / BLOCK) - first + 1
     near = F.array_join(F.slice(cut, (first + 1).cast("int"), count.cast("int")), "")
-    return F.substring(
-        near, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int")
-    )
+    size = (end - start).cast("int")
+    return F.when(
+        F.size(cut) == 1, F.substring(F.get(cut, F.lit(0)), (start + 1).cast("int"), size)
+    ).otherwise(F.substring(near, (start - first * BLOCK + 1).cast("int"), size))
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -122,6 +122,11 @@ def refine(gaps: DataFrame, sides: Sequence[str], level: str) -> DataFrame:
             for s in sides
         }
     )
+    # neighbouring anchors leave nothing between them on any side: most rows stop here
+    between = F.lit(False)
+    for side in sides:
+        between = between | (F.col(f"{side}_pos") > F.col(f"{side}_from"))
+    marks = marks.where(between)
     cut = gaps.select("unit", *[blocks(F.col(f"{s}_text")).alias(f"{s}_text") for s in sides])
     parts = cut.join(marks, "unit").select(
         F.struct(
@@ -299,6 +304,13 @@ def merge_components(texts: DataFrame, *, levels: Sequence[str] = LEVELS) -> Dat
     )
 
 
+def _cut_bases(texts: DataFrame) -> DataFrame:
+    # below the join, so that the optimizer cannot repeat the cutting for every edit
+    return spread(texts.select("doc_id", "base"), "doc_id").withColumn(
+        "blocks", blocks(F.col("base"))
+    )
+
+
 def _rebuilt() -> Column:
     """The base text of a row, also given as `blocks`, with its sorted `edits` applied."""
 
@@ -323,8 +335,7 @@ def apply_edits(texts: DataFrame, edits: DataFrame, output: str = "preview") ->
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
     )
-    joined = spread(texts.select("doc_id", "base"), "doc_id").join(lists, "doc_id", "left")
-    joined = joined.withColumn("blocks", blocks(F.col("base")))
+    joined = _cut_bases(texts).join(lists, "doc_id", "left")
     return joined.select("doc_id", _rebuilt().alias(output))
 
 
@@ -347,8 +358,7 @@ def reconcile(texts: DataFrame, *, levels: Sequence[str] = LEVELS) -> DataFrame:
             ).alias("edits"),
         )
     )
-    joined = spread(texts.select("doc_id", "base"), "doc_id").join(lists, "doc_id", "left")
-    joined = joined.withColumn("blocks", blocks(F.col("base")))
+    joined = _cut_bases(texts).join(lists, "doc_id", "left")
     return joined.select(
         "doc_id",
         _rebuilt().alias("preview"),

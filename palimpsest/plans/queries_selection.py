@@ -193,7 +193,7 @@ def apply_selections(spark: SparkSession, folder: str) -> DataFrame:
 )
 def apply_patches(spark: SparkSession, folder: str) -> DataFrame:
     texts = transcripts(spark, folder)
-    components = R.merge_components(texts)
+    components = stage(spark, folder, "components", lambda: R.merge_components(texts))
     kind = F.col("doc_id") % 11
     patches = components.select(
         "doc_id",
@@ -291,7 +291,8 @@ def review_resolution(spark: SparkSession, folder: str) -> DataFrame:
     "UNION ALL SELECT *, 'recomputed' FROM (SELECT * FROM fresh EXCEPT ALL SELECT * FROM stored))",
 )
 def merge_plan_audit(spark: SparkSession, folder: str) -> DataFrame:
-    fresh = R.merge_components(transcripts(spark, folder)).select(
+    texts = transcripts(spark, folder)
+    fresh = stage(spark, folder, "components", lambda: R.merge_components(texts)).select(
         "doc_id", "start", "end", "original", "merged", "state"
     )
     kind = F.col("doc_id") % 13
