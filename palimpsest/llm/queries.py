@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib.util
 import os
 
-from palimpsest.llm import bpe
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, licenses, mixing
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
 
@@ -23,3 +25,17 @@ def vocabulary(name: str) -> str:
 @query("op10_bpe_round_trip")
 def op10_bpe_round_trip(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark, folder):
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return licenses.scan(table(spark, folder, "documents")).select(*columns)
+
+
+@query("op6_mixing")
+def op6_mixing(spark, folder):
+    made = mixing.plan(table(spark, folder, "documents"))
+    return made.rows.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
+    )
