@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, licenses, mixing
+from palimpsest.llm import bpe, licenses, mixing, ranking
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
 
@@ -39,3 +39,12 @@ def op6_mixing(spark, folder):
     return made.rows.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
     )
+
+
+@query("op4_pairwise_quality")
+def op4_pairwise_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = ranking.train(docs, table(spark, folder, "labels"))
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    predicted = F.when(F.col("score") >= ranking.CUT, 1).otherwise(0).cast("int").alias("predicted")
+    return ranking.score(docs, model).select("doc_id", held, "score", predicted)
