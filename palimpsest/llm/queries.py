@@ -7,7 +7,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, licenses, mixing, ranking
+from palimpsest.functions.materialize import materialize
+from palimpsest.llm import bpe, licenses, mixing, mtree, ranking
+from palimpsest.llm.oracles import OP5
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
 
@@ -48,3 +50,10 @@ def op4_pairwise_quality(spark, folder):
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
     predicted = F.when(F.col("score") >= ranking.CUT, 1).otherwise(0).cast("int").alias("predicted")
     return ranking.score(docs, model).select("doc_id", held, "score", predicted)
+
+
+@query("op5_mtree_top_k", OP5)
+def op5_mtree_top_k(spark, folder):
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    vectors = materialize(mtree.usable(table(spark, folder, "embeddings"), "vec_id", "embedding", whole))
+    return mtree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
