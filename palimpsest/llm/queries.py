@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
-from palimpsest.llm import bpe, licenses, mixing, mtree, ranking
+from palimpsest.llm import bayes_dedup, bpe, licenses, mixing, mtree, ranking
 from palimpsest.llm.oracles import OP5
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
@@ -57,3 +57,9 @@ def op5_mtree_top_k(spark, folder):
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
     vectors = materialize(mtree.usable(table(spark, folder, "embeddings"), "vec_id", "embedding", whole))
     return mtree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
+
+
+@query("op7_bayes_near_dedup")
+def op7_bayes_near_dedup(spark, folder):
+    found = bayes_dedup.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -20,7 +20,7 @@ def sieve(ids: DataFrame, key: str) -> tuple[DataFrame, int]:
     while bits < min(32 * n, MOST_BITS):
         bits *= 2
     place = _place(F.col(key), bits)
-    words = ids.select(F.shiftright(place, 6).alias("~word"), F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int")).alias("~mask"))
+    words = ids.select(F.shiftright(place, 6).alias("~word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("~mask"))
     return words.groupBy("~word").agg(F.bit_or("~mask").alias("~mask")), bits
 
 
