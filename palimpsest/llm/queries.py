@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
-from palimpsest.llm import bayes_dedup, bpe, licenses, mixing, mtree, ranking
+from palimpsest.llm import automata, bayes_dedup, bpe, licenses, mixing, mtree, ranking
 from palimpsest.llm.oracles import OP5
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
@@ -63,3 +63,8 @@ def op5_mtree_top_k(spark, folder):
 def op7_bayes_near_dedup(spark, folder):
     found = bayes_dedup.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, folder):
+    return automata.digests(table(spark, folder, "documents"))
