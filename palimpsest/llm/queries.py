@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
-from palimpsest.llm import automata, bayes_dedup, bpe, licenses, mixing, mtree, ranking
+from palimpsest.llm import automata, bayes_dedup, bpe, fertility, licenses, mixing, mtree, ranking
 from palimpsest.llm.oracles import OP5
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
@@ -68,3 +68,9 @@ def op7_bayes_near_dedup(spark, folder):
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark, folder):
     return automata.digests(table(spark, folder, "documents"))
+
+
+@query("op1_tokeniser_fertility")
+def op1_tokeniser_fertility(spark, folder):
+    docs = table(spark, folder, "documents")
+    return fertility.judge(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
