@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
-from palimpsest.llm import automata, bayes_dedup, bpe, fertility, licenses, mixing, mtree, ranking
+from palimpsest.llm import automata, bayes_dedup, bpe, crf, density, fertility, licenses, mixing, mtree, ranking
 from palimpsest.llm.oracles import OP5
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
@@ -74,3 +74,15 @@ def op2_substring_dedup(spark, folder):
 def op1_tokeniser_fertility(spark, folder):
     docs = table(spark, folder, "documents")
     return fertility.judge(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op8_crf_language")
+def op8_crf_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out")
+    return crf.label(docs, crf.train(docs)).select("doc_id", held, "lang_pred", "score")
+
+
+@query("op9_text_density")
+def op9_text_density(spark, folder):
+    return density.extract(table(spark, folder, "pages"))
