@@ -1,6 +1,6 @@
 """Word languages of code-switched text by a linear-chain conditional random field.
 
-Every word has features of its bytes in lower case: runs of two to five bytes with marks at both ends (so
+Every word has features of its letters (as bytes, in lower case): runs of two to five bytes with marks at both ends (so
 affixes are among them) and the word itself (a lexicon). Each is hashed to a row of one weight table with a
 column per language. Transitions between the languages of neighbouring words are learned with the weights:
 training sequences are cut from labelled documents of several languages, so they switch.
@@ -39,7 +39,7 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]] = True
 
 
-def word_features(texts: Texts, words: Words, chosen: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_features(texts: Texts, words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of the features of the chosen words (lower-cased texts), and where each word's begin."""
     size = words.end[chosen] - words.start[chosen] + 2  # with a mark at either end
     at = np.cumsum(size) - size
@@ -47,7 +47,11 @@ def word_features(texts: Texts, words: Words, chosen: np.ndarray, hashes: np.nda
     marked = texts.data[np.clip(source, 0, max(len(texts.data) - 1, 0))].astype(np.uint64)
     marked[at], marked[at + size - 1] = 256, 257
     owner = np.repeat(np.arange(len(chosen)), size)
-    rows, owners = [mixed(hashes[chosen] ^ np.uint64(0xABCD))], [np.arange(len(chosen))]
+    spoken = ((marked >= 0x61) & (marked <= 0x7A)) | (marked >= 0x80)  # digits and marks say nothing about a language
+    marked, owner = marked[spoken], owner[spoken]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    whole = np.add.reduceat(mixed(marked + (place.astype(np.uint64) << np.uint64(9))), np.searchsorted(owner, np.arange(len(chosen))))
+    rows, owners = [mixed(whole)], [np.arange(len(chosen))]
     for order in ORDERS:
         if len(marked) < order:
             continue
@@ -72,7 +76,7 @@ class Field:
     def emissions(self, texts: Texts, words: Words, hashes: np.ndarray) -> np.ndarray:
         """Log weights of every word for every language; each distinct word is scored once."""
         _, seen, back = np.unique(hashes, return_index=True, return_inverse=True)
-        rows, begin = word_features(texts, words, seen, hashes)
+        rows, begin = word_features(texts, words, seen)
         return np.add.reduceat(self.weights[rows], begin, axis=0)[back]
 
 
@@ -157,7 +161,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 20, ridge: float = 1e-
     if not whole:
         return Field(labels, np.zeros((1 << TABLE_BITS, k), np.float32), np.zeros((k, k)))
     word, gold = back[order], label[order]
-    rows, begin = word_features(laid, words, seen, hashes)
+    rows, begin = word_features(laid, words, seen)
     owner = np.repeat(np.arange(len(seen)), np.diff(np.append(begin, len(rows))))
     weights, moves = np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k))
     spent_w, spent_m = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
