@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.materialize import materialize
 from palimpsest.llm.words import slices, texts_of, words_of
 
-SHARDS = 16
-BLOCKS_PER_SHARD = 64
+SHARDS = 64
+BLOCKS_PER_SHARD = 16
 #: Words of a block at least: the block that is filled document by document needs some to choose from.
 LEAST_BLOCK = 65_536
 SEED = 20240917
@@ -85,9 +85,16 @@ def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) ->
 
 @dataclass
 class Mix:
-    """The plan of a mix: `rows` has one row a document, `blocks` one row a drawn block."""
+    """The plan of a mix.
+
+    `rows` has one row a document; `sources` one a source; `counts` one a block (copies, and words left to fill
+    if it is open); `filled` the documents of open blocks; `blocks` one row a drawn block and its shard.
+    """
 
     rows: DataFrame
+    sources: DataFrame
+    counts: DataFrame
+    filled: DataFrame
     blocks: DataFrame
 
 
@@ -172,22 +179,30 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     closed = placed.where("left = 0").select("doc_id", "source", "size", "source_size", "target", "copies", "sid", "block")
     opened = placed.where("left > 0").withColumn("turn", F.xxhash64(F.lit(SEED + 1), F.col("doc_id")))
     # an open group is one block of one source: the words of a block bound it
-    filled = opened.groupBy("sid").applyInPandas(_fill, closed.schema)
-    return Mix(closed.unionByName(filled), spark.createDataFrame(drawn, "sid int, block int, copy int, shard int"))
+    filled = materialize(opened.groupBy("sid").applyInPandas(_fill, closed.schema))
+    drawn = spark.createDataFrame(drawn, "sid int, block int, copy int, shard int")
+    return Mix(closed.unionByName(filled), sources, blocks, filled, drawn)
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, **choices) -> DataFrame:
     """The mixed rows themselves: the columns of `docs`, once per copy, in `shards` locally shuffled partitions.
 
-    A document's copies follow from its source and block alone, so texts are joined to small plan tables
-    only. Rows of the open blocks (one per source) are matched by id.
+    A document's copies follow from its source and block, so texts meet only small plan tables; rows of the
+    open blocks (one per source) are matched by id. The one shuffle of texts deals them to their shards.
     """
     made = plan(docs, shards=shards, **choices)
-    rows = materialize(made.rows)
-    turns = rows.groupBy("doc_id").agg(F.max("copies").alias("~copies"), F.first("sid").alias("~sid"), F.first("block").alias("~block"))
-    named = docs.join(turns.withColumnRenamed("doc_id", "~id"), F.col("doc_id").cast("long").eqNullSafe(F.col("~id"))).where("`~copies` > 0")
-    each = named.withColumn("~copy", F.explode(F.sequence(F.lit(1), F.col("~copies"))))
-    shard = made.blocks.select(*(F.col(c).alias(f"~{c}") for c in ("sid", "block", "copy", "shard")))
-    placed = each.join(F.broadcast(shard), ["~sid", "~block", "~copy"], "left")
-    order = F.xxhash64(F.lit(SEED + 2), F.col("~id"), F.col("~copy"))
-    return placed.repartition(shards, "~shard").sortWithinPartitions("~shard", order).select(*docs.columns)
+    own = lambda frame: frame.select(*(F.col(c).alias(f"~{c}") for c in frame.columns))  # noqa: E731  no clash with columns of docs
+    key = F.col("doc_id").cast("long")
+    named = docs.join(F.broadcast(own(made.sources)), F.col("source").cast("string").eqNullSafe(F.col("~name")))
+    placed = named.withColumn("~of", F.pmod(F.xxhash64(F.lit(SEED), key), F.col("~n_blocks")).cast("int"))
+    at_block = (F.col("~sid") == F.col("~s")) & (F.col("~of") == F.col("~b"))
+    counts = own(made.counts).withColumnsRenamed({"~sid": "~s", "~block": "~b"})
+    known = placed.join(F.broadcast(counts), at_block).drop("~s", "~b")
+    filled = own(made.filled.groupBy("doc_id").agg(F.max("copies").alias("filled")))
+    opened = known.where("`~left` > 0").join(filled, key.eqNullSafe(F.col("~doc_id"))).withColumn("~copies", F.col("~filled"))
+    known = known.where("`~left` = 0").unionByName(opened.drop("~doc_id", "~filled")).where("`~copies` > 0")
+    each = known.withColumn("~turn", F.explode(F.sequence(F.lit(1), F.col("~copies"))))
+    drawn = own(made.blocks).withColumnsRenamed({"~sid": "~s", "~block": "~b"})
+    dealt = each.join(F.broadcast(drawn), at_block & (F.col("~turn") == F.col("~copy")), "left")
+    order = F.xxhash64(F.lit(SEED + 2), key, F.col("~turn"))
+    return dealt.repartition(shards, "~shard").sortWithinPartitions("~shard", order).select(*(F.col(f"`{c}`") for c in docs.columns))
