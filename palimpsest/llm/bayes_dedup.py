@@ -7,7 +7,9 @@
    paired with each other: first every class meets one pivot of its bands, then the pivots of the others,
    then pivots chosen anew; after every round, pairs whose ends are connected already leave. What stays in
    bands of several components is compared in full: all members against those outside the band's largest
-   component, so no link is lost and a group of n near copies costs about n comparisons a round.
+   component, so no link is lost and a group of n near copies costs about n comparisons a round. Before
+   that, members whose shingles found in other members are too few for any link leave: counting these is
+   linear, and far variants of one text are not paired with each other.
 3. A pair is compared sequentially: first 128 one-bit hashes inside the join, then batches of signature
    values. With m of n values equal and a uniform prior, the posterior of the similarity is Beta(m + 1,
    n - m + 1); a pair leaves as soon as the chance of reaching the threshold falls below `MISS`.
@@ -40,8 +42,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 60, 6
 #: Chance at which a pair's posterior of reaching the threshold is given up.
-MISS = 1e-7
+MISS = 1e-6
 BATCH = 40
+#: Members of a block.
+SIDE = 256
 
 _rng = np.random.default_rng(20240229)
 _TIMES = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -185,6 +189,77 @@ def _pivots(members: DataFrame, turn: int) -> DataFrame:
     return members.groupBy("band").agg(F.min_by(member, order).alias("p"))
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of bands that hold several components."""
+    mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return materialize(members.join(mixed.select("band"), "band"))
+
+
+def _able(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with `shared`, the shingles they have in common with any other member, if these allow a link.
+
+    A shingle of one member only is in no intersection. Variants of one text whose own edits exceed the
+    threshold leave here, without being paired. Done twice, as fewer members share less.
+    """
+    members = members.withColumn("shared", F.col("n"))
+    for _ in range(2):
+        own = sets.join(members.select("doc_id").distinct(), "doc_id").select("doc_id", F.explode("items").alias("item"))
+        alone = own.groupBy("item").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("doc_id")).where("texts = 1")
+        private = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("private"))
+        counted = members.drop("shared").join(private, "doc_id", "left")
+        counted = counted.withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0))).drop("private")
+        members = _mixed(counted.where(F.col("shared") * 100 >= F.col("n") * PERCENT))
+    return members
+
+
+def _compare_blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """`a, b`: pairs of different components that no bound excludes, each once.
+
+    Members of a band meet those outside its largest component (`main`) in blocks of about `SIDE` by `SIDE`,
+    compared with numpy: a row of the join is a pair of blocks, and only what survives becomes rows.
+    """
+    item = F.struct("doc_id", "label", "n", "shared", "sig")
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("blocks"))
+    dealt = members.join(sizes, "band").join(sigs, "doc_id")
+    dealt = materialize(dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks"))))
+    block = lambda rows, name: rows.groupBy("place", "band", "main", "block").agg(F.collect_list(item).alias(name))
+    left = block(dealt, "left")
+    right = block(dealt.where("label <> main"), "right").select("band", "right")
+    marks = [(end, least_equal(end, PERCENT / 100, MISS)) for end in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def sides(column: pa.ListArray) -> list[tuple[np.ndarray, ...]]:
+        flat, at = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        sig = np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+        return [(*(f[i:j] for f in fields), sig[i:j]) for i, j in zip(at, at[1:], strict=False)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out_a, out_b = [], []
+            context = zip(batch.column("place").to_pylist(), batch.column("main").to_pylist(), strict=True)
+            for (place, main), one, other in zip(context, sides(batch.column("left")), sides(batch.column("right")), strict=True):
+                ids, label, n, shared, sig = one
+                for doc, own, size, common, values in zip(*other, strict=True):
+                    fine = (label != own) & ((label == main) | (ids < doc))  # two outsiders meet twice
+                    fine &= (np.minimum(n, size) * 100 >= np.maximum(n, size) * PERCENT)
+                    fine &= np.minimum(shared, common) * (100 + PERCENT) >= PERCENT * (n + size)
+                    rows = np.flatnonzero(fine)
+                    equal = sig[rows] == values
+                    first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)  # a pair counts in its first common band
+                    rows, equal = rows[first == place], equal[first == place]
+                    for begin, (end, least) in zip(range(0, BANDS * ROWS, BATCH), marks, strict=True):
+                        so_far = equal[:, begin:end].sum(axis=1) + (so_far if begin else 0)
+                        alive = so_far >= least
+                        rows, equal, so_far = rows[alive], equal[alive], so_far[alive]
+                    out_a.append(np.full(len(rows), doc))
+                    out_b.append(ids[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_a, out_b)], ["a", "b"])
+
+    return left.join(right, "band").select("place", "main", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`doc_id, n_shingles, component_id`, one row a document: components of the exact similarity links."""
     sketched = materialize(sketches(docs))
@@ -197,16 +272,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
     )
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)))
-    banded = classes.select("doc_id", F.explode(keys).alias("band"))
+    banded = classes.select("doc_id", F.posexplode(keys).alias("place", "band"))
     crowded = banded.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band")
     traits = classes.select("doc_id", F.col("n_shingles").alias("n"), "bits_a", "bits_b")
     members = materialize(banded.join(crowded, "band").join(traits, "doc_id"))
     sigs = classes.select("doc_id", "sig")
     sets = materialize(whole_sets(docs, members.select("doc_id").distinct()))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
+    def links_of(pairs: DataFrame, pruned: bool = False) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return materialize(exact_links(bayes_prune(ordered, sigs), sets))
+        return materialize(exact_links(ordered if pruned else bayes_prune(ordered, sigs), sets))
 
     def labelled(labels: DataFrame | None) -> DataFrame:
         if labels is None:
@@ -231,14 +306,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links.union(more))
 
     # bands that still hold several components: every member against those outside the largest one
-    now = materialize(labelled(labels))
-    mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    shares = now.join(mixed, "band").groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
+    now = _able(_mixed(labelled(labels)), sets)
+    shares = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = shares.groupBy("band").agg(F.max_by("label", F.struct("size", F.negative("label"))).alias("main"))
-    stray = now.join(largest, "band").where("label <> main")
-    left, right = now.alias("l"), stray.alias("r")
-    crossed = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.label") != F.col("r.label")) & _alike("l", "r"))
-    last = links_of(crossed.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")))
+    last = links_of(_compare_blocks(now.join(largest, "band"), sigs), pruned=True)
     labels = components(links.union(more).union(last))
 
     members_of = full.select("doc_id", *same).join(classes.select(*same, F.col("doc_id").alias("node")), [*same])
