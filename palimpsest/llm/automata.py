@@ -38,7 +38,7 @@ from palimpsest.llm.words import gram_hashes, run_hashes, slices, texts_of, word
 WINDOW = 50
 GRAM = 16
 SHARD_WORDS = 60_000
-#: Segments of one anchor above which (if they differ) it is cut into windows.
+#: Different segments of one anchor above which it is cut into windows.
 HOT_SEGMENTS = 400
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -240,16 +240,16 @@ def _match(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`doc_id, spans`: word spans [start, end) that windows of smaller documents cover, a row per such document."""
     found = materialize(segments(docs, window))
-    by_anchor = found.groupBy("anchor").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("rows"),
-        F.min("content").alias("one"), F.max("content").alias("other"),
-    )
-    hot = (F.col("rows") > HOT_SEGMENTS) & (F.col("one") != F.col("other"))
-    shared = materialize(by_anchor.where("low < high").select("anchor", hot.alias("hot")))
+    by_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = materialize(by_anchor.where("low < high").select("anchor"))
     likely = maybe(found, F.col("anchor"), sieve(shared, "anchor")).where("`~maybe`").drop("~maybe")
     met = materialize(likely.join(shared, "anchor"))
-    parts = met.where("not hot").drop("hot").unionByName(_windows(docs, met.where("hot"), window))
-    parts = materialize(parts)
+    # different segments of an anchor, not its rows, make a shard grow
+    forms = met.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("one").alias("forms"))
+    hot = materialize(forms.where(F.col("forms") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot")))
+    told = met.join(hot, "anchor", "left")
+    cold = told.where("hot is null").drop("hot")
+    parts = materialize(cold.unionByName(_windows(docs, told.where("hot"), window)))
     references = parts.groupBy("anchor", "content").agg(
         F.min("doc_id").alias("owner"), F.max("doc_id").alias("high"),
         F.min_by("start", "doc_id").alias("start"), F.first("number").alias("number"),
