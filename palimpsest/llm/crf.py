@@ -215,7 +215,8 @@ def _label_slice(part: pa.RecordBatch, field: Field) -> pa.RecordBatch:
     word_best = chance.argmax(axis=1) if len(chance) else np.zeros(0, int)
     fresh = np.ones(len(word_best), dtype=bool)
     fresh[1:] = word_best[1:] != word_best[:-1]
-    fresh[words.first[:-1][words.counts > 0]] = True
+    if len(chance):
+        fresh[words.first[:-1][words.counts > 0]] = True
     begin = np.flatnonzero(fresh)
     held = np.searchsorted(begin, words.first)
     end = np.append(begin[1:], len(word_best))
