@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,12 +29,19 @@ def materialize(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-_stages: dict[tuple[str, str, str], DataFrame] = {}
+_stages: dict[tuple[str, str, str, int], DataFrame] = {}
+
+
+def fingerprint(spark: SparkSession, folder: str) -> int:
+    """A number that changes with the files below a folder: names, lengths and times, no contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    row = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return int(row[0] or 0)
 
 
 def stage(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
-    """A step several queries of one application share: built and written on first use."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """A step several queries of one application share: built on first use, and again when its input changed."""
+    key = (spark.sparkContext.applicationId, folder, name, fingerprint(spark, folder))
     if key not in _stages:
         _stages[key] = materialize(build())
     return _stages[key]

@@ -36,9 +36,11 @@ STAGE_EDGES = (
 SHARED_STAGES = (
     "media_probe", "timeline_audio", "media_object", "base_asr", "peer_asr", "asr_comparison",
 )
-# The stage that a paid operation produces.
+# The stage that a paid operation produces; operations are named by what they do.
 OPERATION_STAGES = (
     ("media_upload", "media_object"),
+    ("transcribe_base", "base_asr"),
+    ("transcribe_peer", "peer_asr"),
     ("correction_a", "correction_transcript"),
     ("correction_b", "correction_transcript"),
     ("selection", "selection_result"),
@@ -90,7 +92,7 @@ def latest_attempts(invocations: DataFrame) -> DataFrame:
 def downstream_stages(roots: DataFrame, closure: DataFrame) -> DataFrame:
     """`run_id, stage` roots -> all stages behind them."""
     pairs = roots.distinct().withColumnRenamed("stage", "root")
-    return pairs.join(F.broadcast(closure), "root").select("run_id", "stage").distinct()
+    return pairs.join(closure, "root").select("run_id", "stage").distinct()
 
 
 def invalidate(
@@ -112,24 +114,32 @@ def invalidate(
     return dropped.unionByName(stale)
 
 
+def unknown_operations(latest: DataFrame, stages: DataFrame) -> DataFrame:
+    """`run_id, operation` of failed calls that no stage is known for; nothing of such a run is carried over."""
+    failed = latest.where(F.col("status") != "succeeded")
+    return failed.join(stages, "operation", "left_anti").select("run_id", "operation").distinct()
+
+
 def retry_carryover(
-    prior: DataFrame, latest: DataFrame, runs: DataFrame, closure: DataFrame, stages: DataFrame
+    prior: DataFrame, latest: DataFrame, runs: DataFrame, closure: DataFrame, stages: DataFrame,
+    unavailable: DataFrame | None = None,
 ) -> DataFrame:
     """Checkpoints of a finished round that the next round may keep.
 
     Left out are all stages behind a failed operation, and a failed stage in its own scope
-    only, so the sibling stays. A round without any failure in a succeeded run redoes the
-    correction and everything behind it.
+    only, so the sibling stays. A round without any failure and without `unavailable` references
+    (`run_id`) in a succeeded run redoes the correction and everything behind it. A failed
+    operation without a known stage keeps nothing of its run.
     """
-    failures = (
-        latest.where(F.col("status") != "succeeded")
-        .join(F.broadcast(stages), "operation")
-        .select("run_id", "stage", "scope")
-    )
+    failed = latest.where(F.col("status") != "succeeded")
+    failures = failed.join(stages, "operation").select("run_id", "stage", "scope")
+    strange = unknown_operations(latest, stages).select("run_id").distinct()
+    prior = prior.join(strange, "run_id", "left_anti")
     behind = downstream_stages(failures.select("run_id", "stage"), closure)
-    clean = runs.where(F.col("status") == "succeeded").join(
-        failures.select("run_id"), "run_id", "left_anti"
-    )
+    unclean = failed.select("run_id")
+    if unavailable is not None:
+        unclean = unclean.unionByName(unavailable.select("run_id"))
+    clean = runs.where(F.col("status") == "succeeded").join(unclean.distinct(), "run_id", "left_anti")
     redo = clean.select("run_id", F.lit("correction_transcript").alias("stage"))
     redo = redo.unionByName(downstream_stages(redo, closure))
     excluded = behind.unionByName(redo).distinct()
@@ -256,15 +266,19 @@ def usage_ledger(invocations: DataFrame) -> DataFrame:
 def latest_references(preparations: DataFrame, current_round: int, width: int = 65_536) -> DataFrame:
     """Latest preparation per (run, ordinal) up to a round; available ones get dense ordinals.
 
-    A second row of the same round is ignored.
+    A second row of the same round is ignored. An available reference is immutable: the first round that has
+    it wins, and `later_rounds` counts the rounds reported after it.
     """
     first = (
         preparations.where(F.col("round") <= current_round)
         .groupBy("run_id", "ordinal", "round")
         .agg(F.min_by("status", "seq").alias("status"))
     )
+    found = F.min(F.when(F.col("status") == "available", F.col("round")))
     latest = first.groupBy("run_id", "ordinal").agg(
-        F.max("round").alias("round"), F.max_by("status", "round").alias("status")
+        F.coalesce(found, F.max("round")).alias("round"),
+        F.when(found.isNotNull(), "available").otherwise(F.max_by("status", "round")).alias("status"),
+        F.when(found.isNotNull(), F.max("round") - found).otherwise(0).cast("long").alias("later_rounds"),
     )
     available = F.col("status") == "available"
     numbered = running(
@@ -314,18 +328,25 @@ def run_status(events: DataFrame, runs: DataFrame, project_id: Column) -> DataFr
 
 
 def orphan_objects(transfers: DataFrame, documents: DataFrame, runs: DataFrame) -> DataFrame:
-    """Which transferred objects nothing names any more. Active runs are left alone."""
-    named = documents.select(
-        "run_id",
-        F.explode(
-            F.regexp_extract_all("body", F.lit(r'"object_key"\s*:\s*"([^"]+)"'), F.lit(1))
-        ).alias("object_key"),
-    ).distinct()
-    marked = transfers.join(
-        named.withColumn("named", F.lit(True)), ["run_id", "object_key"], "left"
-    ).join(runs.select("run_id", "status"), "run_id")
+    """Which transferred objects nothing names any more. Active runs are left alone.
+
+    The values of `object_key` members are read as JSON strings, so escaped keys count. Nothing of a run
+    with a malformed document is removed (`unreadable`).
+    """
+    strings = F.regexp_extract_all(
+        "body", F.lit(r'"object_key"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1)
+    )
+    decoded = F.transform(strings, lambda s: F.get_json_object(F.concat(F.lit('{"k":'), s, F.lit("}")), "$.k"))
+    named = documents.select("run_id", F.explode(decoded).alias("object_key")).distinct()
+    broken = documents.where(F.try_parse_json("body").isNull()).select("run_id").distinct()
+    marked = (
+        transfers.join(named.withColumn("named", F.lit(True)), ["run_id", "object_key"], "left")
+        .join(runs.select("run_id", "status"), "run_id")
+        .join(broken.withColumn("broken", F.lit(True)), "run_id", "left")
+    )
     action = (
-        F.when(F.col("status").isin("queued", "running", "needs_review"), "active_run")
+        F.when(F.col("broken"), "unreadable")
+        .when(F.col("status").isin("queued", "running", "needs_review"), "active_run")
         .when((F.col("state") == "bound") | F.col("named"), "protected")
         .otherwise("would_remove")
     )
@@ -338,7 +359,11 @@ def transfer_resume(intents: DataFrame, transfers: DataFrame, listing: DataFrame
     latest = (
         transfers.where(F.col("state") != "removed")
         .groupBy(*keys)
-        .agg(F.max_by(F.struct("transfer_id", "state", "object_key"), "created_at").alias("t"))
+        .agg(
+            F.max_by(
+                F.struct("transfer_id", "state", "object_key"), F.struct("created_at", "transfer_id")
+            ).alias("t")
+        )
     )
     joined = (
         intents.select(*keys)

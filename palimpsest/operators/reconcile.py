@@ -346,7 +346,14 @@ STATE_COUNTS = (
 
 
 def reconcile(texts: DataFrame, *, levels: Sequence[str] = LEVELS) -> DataFrame:
-    """Three-way merge of every document: preview text and component counts."""
+    """Three-way merge of every document: preview text and component counts.
+
+    Rows that share a `doc_id` are merged under their texts instead, each on its own.
+    """
+    if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        own = texts.withColumn("_own", F.col("doc_id")).withColumn("doc_id", F.xxhash64("doc_id", "base", "a", "b"))
+        once = reconcile(own.dropDuplicates(["doc_id"]).drop("_own"), levels=levels)
+        return own.select("doc_id", "_own").join(once, "doc_id").drop("doc_id").withColumnRenamed("_own", "doc_id")
     components = merge_components(texts, levels=levels)
     lists = (
         spread(components.select("doc_id", "start", "end", "merged", "state"), "doc_id")

@@ -19,17 +19,18 @@ PROVIDERS = ("phone", "email", "wechat", "qq", "apple")
 MAX_SUBJECT_BYTES = 512
 
 
-def normalize_keywords(frame: DataFrame, column: str) -> DataFrame:
-    """Trim, refuse blanks, drop exact repeats keeping the first, then apply the limit."""
+def normalize_keywords(frame: DataFrame, column: str, limit: int = MAX_KEYWORDS) -> DataFrame:
+    """Trim, drop exact repeats keeping the first, and say whether blanks or the limit refuse the list.
+
+    `keywords` is the whole normalized list, whatever the outcome.
+    """
     kept = F.array_distinct(F.transform(column, strip))
     outcome = (
         F.when(F.exists(kept, lambda k: k == ""), "blank")
-        .when(F.size(kept) > MAX_KEYWORDS, "too_many")
+        .when(F.size(kept) > limit, "too_many")
         .otherwise("ok")
     )
-    return frame.withColumn("outcome", outcome).withColumn(
-        "keywords", F.when(F.col("outcome") == "ok", kept)
-    )
+    return frame.withColumn("outcome", outcome).withColumn("keywords", kept)
 
 
 def media_admission(frame: DataFrame) -> DataFrame:
@@ -45,10 +46,12 @@ def is_strict_json(text: Column) -> Column:
 
 
 def diagnostic_cap(frame: DataFrame, column: str) -> DataFrame:
+    """Small bodies inline, larger ones in `overflow`, to be stored under `raw_sha256`: none is lost."""
     size = F.octet_length(column)
     return frame.select(
         *[c for c in frame.columns if c != column],
         F.when(size <= MAX_RAW_BYTES, F.col(column)).alias("raw_response"),
+        F.when(size > MAX_RAW_BYTES, F.col(column)).alias("overflow"),
         content_hash(F.col(column)).alias("raw_sha256"),
         size.cast("long").alias("raw_byte_length"),
         (size > MAX_RAW_BYTES).alias("raw_truncated"),

@@ -456,7 +456,7 @@ _TAIL = (
 
 @query(
     "redact_secrets",
-    f"""SELECT doc_id, substr(c, 1, 4096) AS body, length(c) > 4096 AS body_truncated
+    f"""SELECT doc_id, c AS body, substr(c, 1, 4096) AS excerpt, length(c) > 4096 AS excerpt_cut
 FROM (SELECT doc_id, regexp_replace(replace(replace('{_TAIL}' || text || '{_TAIL}',
     'fixture-secret%2F%2B1', '[REDACTED]'), 'fixture-secret/+1', '[REDACTED]'),
   '{_CREDENTIAL_SQL}', '\\1\\2[REDACTED]', 'g') AS c FROM documents)""",

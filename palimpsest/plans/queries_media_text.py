@@ -233,7 +233,7 @@ kept AS (SELECT doc_id, regexp_replace(w, '\\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\
 lists AS (SELECT doc_id, bool_or(k = '') AS blank, count(*) AS c,
                  string_agg(k, '|' ORDER BY n) AS ks FROM kept GROUP BY doc_id)
 SELECT doc_id, CASE WHEN blank THEN 'blank' WHEN c > 100 THEN 'too_many' ELSE 'ok' END AS outcome,
-       CASE WHEN NOT blank AND c <= 100 THEN ks END AS keywords FROM lists""",
+       ks AS keywords FROM lists""",
 )
 def keywords_normalize(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "documents").select("doc_id", F.split("text", " ").alias("words"))
@@ -279,6 +279,7 @@ def strict_json(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "diagnostic_cap",
     """SELECT doc_id, CASE WHEN strlen(r) <= 65536 THEN r END AS raw_response,
+  CASE WHEN strlen(r) > 65536 THEN r END AS overflow,
   'sha256:' || sha256(r) AS raw_sha256, CAST(strlen(r) AS BIGINT) AS raw_byte_length,
   strlen(r) > 65536 AS raw_truncated
 FROM (SELECT doc_id, text || text || text || text AS r FROM documents)""",

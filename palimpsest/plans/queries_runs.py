@@ -203,7 +203,7 @@ def invalidate(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "retry_carryover",
     with_(
-        recipe_sql("checkpoints", "invocations", "runs"),
+        recipe_sql("checkpoints", "invocations", "runs", "preparations"),
         CLOSURE_SQL,
         LATEST_SQL,
         """failures AS (SELECT l.run_id, o.stage, l.scope FROM latest l JOIN op_stages o
@@ -211,12 +211,15 @@ def invalidate(spark: SparkSession, folder: str) -> DataFrame:
 excluded AS (SELECT f.run_id, c.stage FROM failures f JOIN closure c ON c.root = f.stage
   UNION SELECT run_id, stage FROM runs, (SELECT 'correction_transcript' AS stage UNION
     SELECT stage FROM closure WHERE root = 'correction_transcript') s
-  WHERE status = 'succeeded' AND run_id NOT IN (SELECT run_id FROM failures))""",
+  WHERE status = 'succeeded' AND run_id NOT IN (SELECT run_id FROM latest WHERE status <> 'succeeded' AND round = 2)
+    AND run_id NOT IN (SELECT run_id FROM preparations WHERE round = 2 AND status = 'unavailable'))""",
     )
     + """SELECT k.run_id, k.stage, k.scope, k.artifact_id FROM checkpoints k WHERE k.round = 2
 AND NOT EXISTS (SELECT 1 FROM excluded e WHERE e.run_id = k.run_id AND e.stage = k.stage)
 AND NOT EXISTS (SELECT 1 FROM failures f WHERE f.run_id = k.run_id AND f.stage = k.stage
-                AND f.scope = k.scope)""",
+                AND f.scope = k.scope)
+AND k.run_id NOT IN (SELECT run_id FROM latest WHERE status <> 'succeeded' AND round = 2
+                     AND operation NOT IN (SELECT operation FROM op_stages))""",
 )
 def retry_carryover(spark: SparkSession, folder: str) -> DataFrame:
     latest = L.latest_attempts(
@@ -226,6 +229,7 @@ def retry_carryover(spark: SparkSession, folder: str) -> DataFrame:
     kept = L.retry_carryover(
         prior, latest, recipe(spark, folder, "runs"), L.stage_closure(spark),
         L.operation_stages(spark),
+        recipe(spark, folder, "preparations").where("round = 2 and status = 'unavailable'"),
     )
     return kept.select("run_id", "stage", "scope", "artifact_id")
 
@@ -289,10 +293,12 @@ def usage_ledger(spark: SparkSession, folder: str) -> DataFrame:
         recipe_sql("preparations"),
         """firsts AS (SELECT * FROM preparations WHERE round <= 3 QUALIFY row_number() OVER (
   PARTITION BY run_id, ordinal, round ORDER BY seq) = 1),
-latest AS (SELECT * FROM firsts QUALIFY row_number() OVER (
-  PARTITION BY run_id, ordinal ORDER BY round DESC) = 1)""",
+latest AS (SELECT *, CASE WHEN status = 'available' THEN newest - round ELSE 0 END AS later_rounds
+  FROM (SELECT *, max(round) OVER (PARTITION BY run_id, ordinal) AS newest FROM firsts)
+  QUALIFY row_number() OVER (PARTITION BY run_id, ordinal
+    ORDER BY status <> 'available', CASE WHEN status = 'available' THEN round ELSE -round END) = 1)""",
     )
-    + """SELECT run_id, ordinal, round, status, CASE WHEN status = 'available' THEN row_number()
+    + """SELECT run_id, ordinal, round, status, CAST(later_rounds AS BIGINT) AS later_rounds, CASE WHEN status = 'available' THEN row_number()
   OVER (PARTITION BY run_id, status ORDER BY ordinal) - 1 END AS effective_ordinal FROM latest""",
 )
 def reference_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,7 +336,8 @@ def run_status(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "orphan_objects",
     with_(recipe_sql("transfers", "transfer_runs"))
-    + """SELECT t.run_id, t.transfer_id, CASE WHEN r.status = 'running' THEN 'active_run'
+    + """SELECT t.run_id, t.transfer_id, CASE WHEN t.run_id IN (SELECT run_id FROM transfers WHERE transfer_id % 91 = 0)
+  THEN 'unreadable' WHEN r.status = 'running' THEN 'active_run'
   WHEN t.state = 'bound' OR (t.transfer_id % 3 = 0) THEN 'protected'
   ELSE 'would_remove' END AS action
 FROM transfers t JOIN transfer_runs r ON r.run_id = t.run_id""",
@@ -342,6 +349,8 @@ def orphan_objects(spark: SparkSession, folder: str) -> DataFrame:
         "run_id",
         F.concat(F.lit('{"kind":"reference","items":[{"object":'), entry, F.lit("}]}")).alias("body"),
     )
+    malformed = transfers.where(F.col("transfer_id") % 91 == 0).select("run_id", F.lit('{"kind":').alias("body"))
+    documents = documents.unionByName(malformed)
     return L.orphan_objects(transfers, documents, recipe(spark, folder, "transfer_runs"))
 
 
@@ -354,7 +363,7 @@ def orphan_objects(spark: SparkSession, folder: str) -> DataFrame:
     WHEN t.transfer_id % 8 = 0 THEN 'adopt_stored' ELSE 'upload_same_key' END AS action
 FROM (SELECT DISTINCT run_id, purpose, content_hash FROM transfers) i
 LEFT JOIN (SELECT * FROM transfers WHERE state <> 'removed' QUALIFY row_number() OVER (
-  PARTITION BY run_id, purpose, content_hash ORDER BY created_at DESC) = 1) t
+  PARTITION BY run_id, purpose, content_hash ORDER BY created_at DESC, transfer_id DESC) = 1) t
 ON t.run_id = i.run_id AND t.purpose = i.purpose AND t.content_hash = i.content_hash""",
 )
 def transfer_resume(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,8 +64,9 @@ SELECT event_id AS invocation_id, user_id AS run_id, 1 + event_id % 2 AS round,
        operation || ':' || scope AS logical_key, status, provider, usage_json, retry_of,
        ms AS created_at
 FROM (SELECT *, CASE event_type WHEN 'view' THEN 'media_upload' WHEN 'error' THEN 'correction_a'
-        WHEN 'signup' THEN 'correction_b' WHEN 'click' THEN 'selection' ELSE 'alignment' END
-        AS operation,
+        WHEN 'signup' THEN 'correction_b' WHEN 'click' THEN 'selection'
+        ELSE CASE event_id % 5 WHEN 0 THEN 'transcribe_base' WHEN 1 THEN 'transcribe_peer'
+          WHEN 2 THEN 'unlisted_call' ELSE 'alignment' END END AS operation,
       CASE event_type WHEN 'error' THEN 'a' WHEN 'signup' THEN 'b'
         WHEN 'click' THEN 'batch_' || CAST(event_id % 3 AS STRING) ELSE 'global' END AS scope,
       CASE event_id % 40 WHEN 0 THEN 'created' WHEN 1 THEN 'sending' WHEN 2 THEN 'explicit_failure'

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import content_hash
@@ -22,13 +22,26 @@ def new_objects(rows: DataFrame, existing: DataFrame, body: str, owner: str) ->
     return fresh.withColumn("prefix", F.substring("content_hash", 8, 2))
 
 
-def write_objects(rows: DataFrame, body: str, path: str) -> None:
-    """Store each distinct content once, in one folder per hash prefix."""
-    hashed = rows.select(content_hash(F.col(body)).alias("content_hash"), F.col(body).alias("body"))
-    known = hashed.dropDuplicates(["content_hash"])
-    known.withColumn("prefix", F.substring("content_hash", 8, 2)).write.mode("append").partitionBy(
-        "prefix"
-    ).parquet(path)
+def write_objects(rows: DataFrame, body: str, path: str, owner: str, stored: DataFrame | None = None) -> None:
+    """Store each distinct content once, in one folder per hash prefix; what `stored` has is not written again.
+
+    Only hashes and owners are shuffled to choose a writer per content; bodies follow for chosen owners.
+    """
+    if stored is None:
+        stored = rows.sparkSession.createDataFrame([], "content_hash string")
+    fresh = new_objects(rows, stored, body, owner)
+    chosen = fresh.select("content_hash", F.col("first_owner").alias(owner), "prefix", "byte_length")
+    hashed = rows.select(owner, content_hash(F.col(body)).alias("content_hash"), F.col(body).alias("body"))
+    picked = hashed.join(chosen, ["content_hash", owner]).drop(owner)
+    once = picked.dropDuplicates(["content_hash"]).select("content_hash", "body", "byte_length", "prefix")
+    once.write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Stored objects with `intact`: whether hash and length still fit the bytes read."""
+    stored = spark.read.parquet(path)
+    same = (content_hash(F.col("body")) == F.col("content_hash")) & (F.octet_length("body") == F.col("byte_length"))
+    return stored.withColumn("intact", same)
 
 
 def normal_path(path: Column) -> Column:

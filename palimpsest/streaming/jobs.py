@@ -12,31 +12,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from palimpsest.functions.materialize import shared_folder
 from palimpsest.operators import rate_limit as RL
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, *, files: int = 100) -> DataFrame:
-    """Files of one table as a stream; `files` bounds the size of a micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files)
-        .parquet(folder)
-    )
+    """Files of one table as a stream; `files` bounds the size of a micro-batch.
+
+    A table is one file or a folder of files; a folder may have no files yet.
+    """
+    path = f"{folder}/{name}.parquet"
+    known = spark.read.parquet(path)
+    source = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", files)
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in known.inputFiles()):
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return source.parquet(path)
 
 
 def run_to_table(
-    stream: DataFrame, mode: str, write: Callable[[DataFrame, int, str], None] | None = None
+    stream: DataFrame, mode: str, write: Callable[[DataFrame, int, str], None] | None = None,
+    schema: StructType | None = None,
 ) -> DataFrame:
-    """Run until the available input is used up; returns the table written, with `batch_id`."""
+    """Run until the available input is used up; returns the table written, with `batch_id`.
+
+    Without any input the result is empty, with the stream's columns (with `write`: those of `schema`).
+    """
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{root}/out"
 
+    batches = []
+
     def save(batch: DataFrame, batch_id: int) -> None:
+        batches.append(batch_id)
         if write is None:
             batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         else:
@@ -50,6 +60,8 @@ def run_to_table(
         .start()
     )
     query.awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], schema or stream.schema).withColumn("batch_id", F.lit(0))
     return spark.read.parquet(out)
 
 
@@ -190,18 +202,31 @@ def reputation_stream(log: DataFrame) -> DataFrame:
 def reconcile_stream(
     documents: DataFrame, variants: Callable[[DataFrame], DataFrame], content_id: Column
 ) -> DataFrame:
-    """Reconcile arriving transcript sets, each content once, whatever batch brings it."""
+    """Reconcile arriving transcript sets, each content once, whatever batch brings it.
+
+    Within a batch repeated contents fold into one; sets are merged under their content, not their `doc_id`,
+    which two contents may share. The ids of earlier batches are a narrow table of their own.
+    """
     from palimpsest.operators.reconcile import reconcile
 
+    seen = f"{shared_folder(documents.sparkSession)}/seen-{uuid.uuid4().hex}"
+    names = ["preview", "conflicts", "singletons", "agreements"]
+    written: set[int] = set()
+
     def write(batch: DataFrame, batch_id: int, out: str) -> None:
         spark = batch.sparkSession
-        arrived = variants(batch).withColumn("content_id", content_id)
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if system.exists(path):
-            done = spark.read.parquet(out).where(F.col("batch_id") != batch_id)
-            arrived = arrived.join(done.select("content_id"), "content_id", "left_anti")
-        merged = reconcile(arrived).join(arrived.select("doc_id", "content_id"), "doc_id")
-        merged.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return run_to_table(documents, "append", write).drop("batch_id", "content_id")
+        arrived = variants(batch).withColumn("content_id", content_id).dropDuplicates(["content_id"])
+        if written - {batch_id}:
+            done = spark.read.parquet(*[f"{seen}/batch_id={b}" for b in sorted(written - {batch_id})])
+            arrived = arrived.join(done, "content_id", "left_anti")
+        arrived = arrived.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.xxhash64("content_id"))
+        merged = reconcile(arrived).join(arrived.select("doc_id", "own_id", "content_id"), "doc_id")
+        result = merged.select(F.col("own_id").alias("doc_id"), *names, "content_id")
+        result.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        stored = spark.read.parquet(f"{out}/batch_id={batch_id}").select("content_id")
+        stored.write.mode("overwrite").parquet(f"{seen}/batch_id={batch_id}")
+        written.add(batch_id)
+
+    fields = "doc_id long, preview string, conflicts long, singletons long, agreements long, content_id string"
+    schema = documents.sparkSession.createDataFrame([], fields).schema
+    return run_to_table(documents, "append", write, schema).drop("batch_id", "content_id")

@@ -42,6 +42,12 @@ def test_chain_roots_and_cycles(spark):
     got = {r.id: (r.root, r.depth) for r in chain_roots(
         spark.createDataFrame(rows, "id long, parent long")).collect()}
     assert got == {**{i: (i - i % 37, i % 37) for i in range(100)}, 500: (500, 0)}
+    for n in (1, 2, 3, 6, 7, 33, 70):
+        line = [(i, i - 1 if i else None) for i in range(n)] + [(1000 + i, None) for i in range(10)]
+        got = {r.id: (r.root, r.depth) for r in chain_roots(spark.createDataFrame(line, "id long, parent long")).collect()}
+        assert got == {**{i: (0, i) for i in range(n)}, **{1000 + i: (1000 + i, 0) for i in range(10)}}
+    star = spark.range(100_000).selectExpr("id", "CASE WHEN id > 0 THEN 0L END AS parent")
+    assert chain_roots(star).where("root = 0").count() == 100_000
     loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent long")
     with pytest.raises(ValueError):
         chain_roots(loop)

@@ -1,15 +1,18 @@
 import hashlib
 import hmac
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import hmac_sha256, length_prefixed
+from palimpsest.operators import lineage as L
 from palimpsest.operators import privacy as X
 from palimpsest.operators import reputation as P
 from palimpsest.operators import timeline
 from palimpsest.operators import utterances as U
 from palimpsest.operators import validation as V
-from palimpsest.sources.references import is_usable_pdf
+from palimpsest.sources import store as S
+from palimpsest.sources.references import is_usable_pdf, read_references
 from palimpsest.sources.store import normal_path
 
 UNITS = "doc_id long, pos long, text string, start_ms long, end_ms long"
@@ -50,6 +53,7 @@ def test_keywords_and_strict_json(spark):
     rows = {r.i: r for r in V.normalize_keywords(frame, "v").collect()}
     assert rows[0].keywords == [".NET", "C++", "GPT-5.6", "Ｓ＆Ｐ"]
     assert [rows[i].outcome for i in range(5)] == ["ok", "blank", "too_many", "ok", "ok"]
+    assert len(rows[2].keywords) == 101 and rows[1].keywords == [""]
     assert rows[3].keywords == ["C++"] and rows[4].keywords == ["x"]
     texts = ['{"x":NaN}', '{"x":Infinity}', '{"x":1,"x":2}', '{"x":1', '{"x":1}']
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -76,7 +80,8 @@ def test_redaction_keeps_diagnostic_names(spark):
     rows = {r.i: r for r in X.redact(frame, "m", ["fixture-secret", secret]).collect()}
     assert rows[0].body == "invalid key [REDACTED]; Authorization: [REDACTED]"
     assert rows[1].body == 'X-Api-Message: denied {"TOS_SECRET_KEY": [REDACTED]} [REDACTED]'
-    assert rows[2].body_truncated and rows[2].body == ("a" * 4090 + "[REDACTED]")[:4096]
+    assert rows[2].excerpt_cut and rows[2].excerpt == ("a" * 4090 + "[REDACTED]")[:4096]
+    assert rows[2].body == "a" * 4090 + "[REDACTED]" + "x" * 100
 
 
 def test_paths_and_pdf(spark):
@@ -114,3 +119,61 @@ def test_packets(spark):
            timeline.packet_continuity(frame, width=1).collect()}
     assert got == {1: ("timestamp_unavailable", 1, None), 2: ("gap", 1, 10),
                    3: ("backward_jump", 1, 15), 4: (None, None, None)}
+
+
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ('signature="a\\"b" x', "signature=[REDACTED] x"),
+        ("signature='a b' x", "signature=[REDACTED] x"),
+        ("Authorization: Basic dXNlcg== x", "Authorization: [REDACTED] x"),
+        ("authorization=bearer; tok,en", "authorization=[REDACTED],en"),
+        ("my_api_key: k1; other", "my_api_key: [REDACTED]; other"),
+        ("signature=[REDACTED] x", "signature=[REDACTED] x"),
+        ("resignature=abc", "resignature=abc"),
+        ('{"signature": "s", "n": 1}', '{"signature": [REDACTED], "n": 1}'),
+    ],
+)
+def test_values_of_credential_names(spark, text, clean):
+    frame = spark.createDataFrame([(1, text)], "i int, m string")
+    assert X.redact(frame, "m", []).first().body == clean
+
+
+def test_objects_are_stored_once_and_checked(spark, tmp_path):
+    path = str(tmp_path / "objects")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "owner long, body string")
+    S.write_objects(rows, "body", path, "owner")
+    S.write_objects(rows, "body", path, "owner", S.read_objects(spark, path))
+    found = S.read_objects(spark, path).collect()
+    assert sorted(r.body for r in found) == ["a", "b"] and all(r.intact for r in found)
+    forged = S.read_objects(spark, path).withColumn("body", F.concat("body", F.lit("!"))).drop("intact")
+    forged.write.partitionBy("prefix").parquet(path + "-forged")
+    assert not any(r.intact for r in S.read_objects(spark, path + "-forged").collect())
+
+
+def test_reference_files_are_read(spark, tmp_path):
+    for name, body in (("a.txt", b"text"), ("b.pdf", b"%PDF-1 body %%EOF")):
+        (tmp_path / name).write_bytes(body)
+    got = {r["name"]: bytes(r["content"]) for r in read_references(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": b"text", "b.pdf": b"%PDF-1 body %%EOF"}
+
+
+def test_objects_that_escaped_keys_name_are_protected(spark):
+    keys = ['a"b', "é/\\x", "plain"]
+    transfers = spark.createDataFrame([(1, i, k, "persisted") for i, k in enumerate(keys)] + [(2, 9, "z", "persisted")], "run_id long, transfer_id long, object_key string, state string")
+    import json
+
+    bodies = [(1, json.dumps({"object_key": keys[0]})), (1, json.dumps({"x": [{"object_key": keys[1]}]})), (2, '{"object_key"')]
+    runs = spark.createDataFrame([(1, "succeeded"), (2, "succeeded")], "run_id long, status string")
+    got = {r.transfer_id: r.action for r in L.orphan_objects(transfers, spark.createDataFrame(bodies, "run_id long, body string"), runs).collect()}
+    assert got == {0: "protected", 1: "protected", 2: "would_remove", 9: "unreadable"}
+
+
+def test_unlisted_operations_keep_nothing(spark):
+    prior = spark.createDataFrame([(1, "base_asr", "global", "x"), (2, "base_asr", "global", "y"), (3, "transcript", "global", "z")], "run_id long, stage string, scope string, artifact_id string")
+    latest = spark.createDataFrame([(1, "unlisted", "global", "failed"), (2, "transcribe_peer", "global", "failed")], "run_id long, operation string, scope string, status string")
+    runs = spark.createDataFrame([(1, "succeeded"), (2, "succeeded"), (3, "succeeded")], "run_id long, status string")
+    missing = spark.createDataFrame([(3,)], "run_id long")
+    kept = L.retry_carryover(prior, latest, runs, L.stage_closure(spark), L.operation_stages(spark), missing)
+    assert sorted(r.run_id for r in kept.collect()) == [2, 3]
+    assert [r.operation for r in L.unknown_operations(latest, L.operation_stages(spark)).collect()] == ["unlisted"]
