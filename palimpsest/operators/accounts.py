@@ -269,45 +269,41 @@ def grant_audit(grants: DataFrame, challenges: DataFrame) -> DataFrame:
 def challenge_replay(challenges: DataFrame, attempts: DataFrame) -> DataFrame:
     """Final state of each code challenge.
 
-    Attempts at or after the expiry only expire it. Otherwise the first right code verifies
-    it, unless five wrong ones came before. The rank keeps at most five wrong attempts per
-    challenge and map task before the shuffle.
+    challenges: `challenge_id, expires_at, phone, purpose`; attempts: `challenge_id, event_id, ts_ms, correct,
+    phone, purpose`. In order of time, an attempt before the expiry verifies a challenge that is still `sent`
+    if code, phone and purpose fit; any other takes one of the attempts left, also from a verified one, and
+    the last one makes it fail for good. An attempt at or after the expiry expires it whatever it was. After
+    `2 * CHALLENGE_ATTEMPTS + 1` attempts none is left, so no later one is gathered.
     """
-    timed = attempts.join(challenges.select("challenge_id", "expires_at"), "challenge_id")
-    inside = timed.where(F.col("ts_ms") < F.col("expires_at"))
-    place = F.struct("ts_ms", "event_id")
-    right = inside.where("correct").groupBy("challenge_id").agg(F.min(place).alias("verified"))
+    bound = challenges.select("challenge_id", "expires_at", F.col("phone").alias("c_phone"), F.col("purpose").alias("c_purpose"))
+    timed = attempts.join(bound, "challenge_id")
+    fits = F.col("correct") & F.col("phone").eqNullSafe(F.col("c_phone")) & F.col("purpose").eqNullSafe(F.col("c_purpose"))
     order = Window.partitionBy("challenge_id").orderBy("ts_ms", "event_id")
-    wrong = (
-        inside.where("not correct")
+    first = (
+        timed.where(F.col("ts_ms") < F.col("expires_at"))
         .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= CHALLENGE_ATTEMPTS)
+        .where(F.col("n") <= 2 * CHALLENGE_ATTEMPTS + 1)
         .groupBy("challenge_id")
-        .agg(
-            F.sort_array(F.collect_list(place)).alias("wrong"),
-        )
-    )
-    late = timed.where(F.col("ts_ms") >= F.col("expires_at")).groupBy("challenge_id").agg(
-        F.lit(True).alias("late")
-    )
-    joined = (
-        challenges.join(right, "challenge_id", "left")
-        .join(wrong, "challenge_id", "left")
-        .join(late, "challenge_id", "left")
-    )
-    fifth = F.get("wrong", F.lit(CHALLENGE_ATTEMPTS - 1))
-    verified = F.col("verified").isNotNull() & (fifth.isNull() | (F.col("verified") < fifth))
-    before = F.size(F.filter("wrong", lambda w: w < F.col("verified")))
-    failures = F.when(verified, F.when(F.col("wrong").isNull(), 0).otherwise(before)).otherwise(F.when(F.col("wrong").isNull(), 0).otherwise(F.size("wrong")))
-    status = (
-        F.when(verified, "verified")
-        .when(fifth.isNotNull(), "failed")
-        .when(F.col("late"), "expired")
-        .otherwise("sent")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "ts_ms", fits.alias("fits")))).alias("steps"))
     )
-    return joined.select(
+    late = timed.where(F.col("ts_ms") >= F.col("expires_at")).select("challenge_id").distinct()
+    nothing = F.lit(None).cast("long")
+
+    def state(status: Column, left: Column, verified: Column) -> Column:
+        return F.struct(status.alias("status"), left.alias("left"), verified.alias("verified_at"))
+
+    def step(held: Column, attempt: Column) -> Column:
+        left = F.greatest(held["left"] - 1, F.lit(0))
+        failed = state(F.when(left == 0, "failed").otherwise("sent"), left, held["verified_at"])
+        passed = state(F.lit("verified"), held["left"], attempt["ts_ms"])
+        return F.when((held["status"] == "sent") & attempt["fits"], passed).otherwise(failed)
+
+    start = state(F.lit("sent"), F.lit(CHALLENGE_ATTEMPTS), nothing)
+    joined = challenges.join(first, "challenge_id", "left").join(late.withColumn("late", F.lit(True)), "challenge_id", "left")
+    held = joined.withColumn("held", F.when(F.col("steps").isNull(), start).otherwise(F.aggregate("steps", start, step)))
+    return held.select(
         "challenge_id",
-        status.alias("status"),
-        (F.lit(CHALLENGE_ATTEMPTS) - failures).cast("long").alias("attempts_remaining"),
-        F.when(verified, F.col("verified.ts_ms")).alias("verified_at"),
+        F.when(F.col("late"), "expired").otherwise(F.col("held.status")).alias("status"),
+        F.col("held.left").cast("long").alias("attempts_remaining"),
+        F.col("held.verified_at").alias("verified_at"),
     )

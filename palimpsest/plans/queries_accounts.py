@@ -355,21 +355,22 @@ def audit_trail(spark: SparkSession, folder: str) -> DataFrame:
     "challenge_replay",
     with_(
         recipe_sql("challenge_events", "challenges"),
-        """timed AS (SELECT a.*, c.expires_at FROM challenge_events a
-  JOIN challenges c ON c.challenge_id = a.challenge_id),
+        """timed AS (SELECT a.*, c.expires_at, a.correct AND a.phone = c.phone AND a.purpose = c.purpose AS fits
+  FROM challenge_events a JOIN challenges c ON c.challenge_id = a.challenge_id),
 steps AS (SELECT *, row_number() OVER (PARTITION BY challenge_id ORDER BY ts_ms, event_id) AS n
   FROM timed WHERE ts_ms < expires_at),
 walk AS (
   SELECT challenge_id, CAST(0 AS BIGINT) AS n, 5 AS remaining, 'sent' AS status,
          CAST(NULL AS BIGINT) AS verified_at FROM challenges
   UNION ALL
-  SELECT w.challenge_id, s.n, CASE WHEN s.correct THEN w.remaining ELSE w.remaining - 1 END,
-         CASE WHEN s.correct THEN 'verified' WHEN w.remaining = 1 THEN 'failed' ELSE 'sent' END,
-         CASE WHEN s.correct THEN s.ts_ms END
-  FROM walk w JOIN steps s ON s.challenge_id = w.challenge_id AND s.n = w.n + 1
-  WHERE w.status = 'sent')""",
+  SELECT w.challenge_id, s.n,
+         CASE WHEN w.status = 'sent' AND s.fits THEN w.remaining ELSE greatest(0, w.remaining - 1) END,
+         CASE WHEN w.status = 'sent' AND s.fits THEN 'verified'
+              WHEN w.remaining <= 1 THEN 'failed' ELSE 'sent' END,
+         CASE WHEN w.status = 'sent' AND s.fits THEN s.ts_ms ELSE w.verified_at END
+  FROM walk w JOIN steps s ON s.challenge_id = w.challenge_id AND s.n = w.n + 1)""",
     )
-    + """SELECT w.challenge_id, CASE WHEN w.status = 'sent' AND EXISTS (SELECT 1 FROM timed t
+    + """SELECT w.challenge_id, CASE WHEN EXISTS (SELECT 1 FROM timed t
     WHERE t.challenge_id = w.challenge_id AND t.ts_ms >= t.expires_at) THEN 'expired'
     ELSE w.status END AS status, CAST(w.remaining AS BIGINT) AS attempts_remaining, w.verified_at
 FROM walk w QUALIFY row_number() OVER (PARTITION BY challenge_id ORDER BY n DESC) = 1""",

@@ -174,9 +174,12 @@ SELECT user_id AS bucket_key, event_type AS purpose, event_id,
        CAST(floor(ms / 600.0) AS BIGINT) AS ts_ms FROM {ev}""")
 RECIPES["challenge_events"] = (("ev",), """
 SELECT event_id, user_id * 1000000 + CAST(floor(event_id / 100.0) AS BIGINT) AS challenge_id,
-       ms AS ts_ms, value > 80 AS correct FROM {ev}""")
+       ms AS ts_ms, value > 80 AS correct,
+       CASE WHEN event_id % 17 = 0 THEN user_id + 1 ELSE user_id END AS phone,
+       CASE WHEN event_id % 19 = 0 THEN 'phone_change' ELSE 'login' END AS purpose FROM {ev}""")
 RECIPES["challenges"] = (("challenge_events",), """
 SELECT challenge_id, min(ts_ms) AS created_at,
+       CAST(floor(challenge_id / 1000000.0) AS BIGINT) AS phone, 'login' AS purpose,
        min(ts_ms) + CASE WHEN challenge_id % 3 = 0 THEN 300000 ELSE 30000000 END AS expires_at
 FROM {challenge_events} GROUP BY challenge_id""")
 RECIPES["grants"] = (("ev",), """
