@@ -66,17 +66,18 @@ def reuse_stream(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("replaced_by").isNotNull(), F.col("revoked_at")).alias("replaced_at"),
     )
     feed = _replayed(uses, "uses")
-    return jobs.run_to_table(jobs.reuse_stream(feed), "append").drop("batch_id")
+    found = jobs.run_to_table(jobs.reuse_stream(feed), "append")
+    return found.groupBy("family_id").agg(F.min("reused_at").alias("reused_at"))
 
 
 def _replayed(rows: DataFrame, name: str) -> DataFrame:
-    """Recorded rows written once to the shared folder and read back as a stream."""
+    """Recorded rows written once to the shared folder and read back as a stream of at least three batches."""
     import uuid
 
     spark = rows.sparkSession
     root = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{root}/{name}.parquet")
-    return spark.readStream.schema(rows.schema).parquet(f"{root}/{name}.parquet")
+    rows.repartition(3).write.parquet(f"{root}/{name}.parquet")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}.parquet")
 
 
 @query(
@@ -89,6 +90,8 @@ def reputation_stream(spark: SparkSession, folder: str) -> DataFrame:
         "phone", "generation", "sequence", "event_type", "to_status", "created_at"
     )
     states = jobs.run_to_table(jobs.reputation_stream(_replayed(log, "log")), "update")
+    if not states.where("outcome = 'quarantined'").isEmpty():
+        raise ValueError("the ledger repeats or contradicts a sequence number")
     newest = (
         states.where(F.col("outcome") == "projected")
         .groupBy("phone", "generation")
@@ -110,9 +113,9 @@ def security_event_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     feed = _event_stream(spark, folder).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), copies))
     )
-    feed = feed.withColumn("ts", F.timestamp_millis("ms"))
-    unique = jobs.dedupe_stream(feed).select("event_id", "user_id", "event_type")
-    return jobs.run_to_table(unique, "append").drop("batch_id")
+    unique, late = jobs.dedupe_to_table(feed, "event_id", "ms")
+    columns = ("event_id", "user_id", "event_type")
+    return unique.select(*columns).unionByName(late.select(*columns).distinct())
 
 
 @query("stream_ingest_reconcile", queries_text.ORACLES["reconcile"])

@@ -5,6 +5,7 @@ Sinks write parquet tables by batch id, so a batch that runs again replaces its
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -84,9 +85,34 @@ def latest_update(updates: DataFrame, key: str) -> DataFrame:
     )
 
 
-def dedupe_stream(events: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Each event id once, remembered for the retention period of event time."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def dedupe_to_table(events: DataFrame, key: str, ms: str, keep_ms: int = 30 * 86_400_000) -> tuple[DataFrame, DataFrame]:
+    """Each key once, and the rows that came too late to tell.
+
+    events: a stream with `key` and event time `ms`. Keys are remembered for `keep_ms` of event time behind the
+    newest row of earlier batches. Rows older than that go to the second table, with all their columns: they
+    are neither dropped nor mixed with rows known to be new.
+    """
+    spark = events.sparkSession
+    late_path = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    written: set[int] = set()
+
+    def write(batch: DataFrame, batch_id: int, out: str) -> None:
+        earlier = [f"{out}/batch_id={b}" for b in sorted(written - {batch_id})]
+        fresh, late = batch, batch.limit(0)
+        if earlier:
+            done = spark.read.schema(batch.schema).parquet(*earlier)
+            newest = done.agg(F.max(ms)).first()[0]
+            if newest is not None:
+                known = done.where(F.col(ms) >= newest - keep_ms).select(key)
+                late = batch.where(F.col(ms) < newest - keep_ms)
+                fresh = batch.where(F.col(ms).isNull() | (F.col(ms) >= newest - keep_ms)).join(known, key, "left_anti")
+        fresh.dropDuplicates([key]).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        written.add(batch_id)
+
+    unique = run_to_table(events, "append", write)
+    late = spark.read.parquet(late_path) if written else unique.limit(0)
+    return unique, late
 
 
 def _ordered(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
@@ -136,19 +162,20 @@ def rate_limit_stream(attempts: DataFrame, limit: int) -> DataFrame:
 
 
 def _reuse_step(key, frames, state: GroupState):
-    """State: the earliest reuse already reported for the family."""
+    """State: the earliest reuse reported for the family; an earlier one that arrives later corrects it."""
     rows = _ordered(frames, ["used_at", "session_id"])
     reused = rows[(rows["replaced_at"].notna()) & (rows["used_at"] >= rows["replaced_at"])]
-    if len(reused) and not state.exists:
+    if len(reused):
         first = int(reused["used_at"].iloc[0])
-        state.update((first,))
-        yield pd.DataFrame({"family_id": [int(key[0])], "reused_at": [first]})
+        if not state.exists or first < state.get[0]:
+            state.update((first,))
+            yield pd.DataFrame({"family_id": [int(key[0])], "reused_at": [first]})
 
 
 def reuse_stream(uses: DataFrame) -> DataFrame:
-    """One revocation per family, at the first use of a token that was already replaced.
+    """The first use of an already replaced token per family; the smallest row of a family is the final one.
 
-    uses: `family_id, session_id, used_at, replaced_at` in order of use.
+    uses: `family_id, session_id, used_at, replaced_at`, in any order of arrival.
     """
     return uses.groupBy("family_id").applyInPandasWithState(
         _reuse_step, "family_id long, reused_at long", "reused_at long", "append",
@@ -163,24 +190,32 @@ _REPUTATION = [
 
 
 def _reputation_step(key, frames, state: GroupState):
-    expected, count, status, blocked, last_ban = (
-        state.get if state.exists else (1, 0, "normal", None, None)
+    """Applies events in sequence; early ones wait in the state until the gap before them closes."""
+    expected, count, status, blocked, last_ban, waiting = (
+        state.get if state.exists else (1, 0, "normal", None, None, "[]")
     )
+    early = {int(r[0]): tuple(r[1:]) for r in json.loads(waiting)}
     strays = []
     for row in _ordered(frames, ["sequence"]).itertuples(index=False):
-        if row.sequence != expected:
-            strays.append((*key, int(row.sequence), None, None, None, None, "quarantined"))
-            continue
+        sequence = int(row.sequence)
+        event = (row.event_type, row.to_status if isinstance(row.to_status, str) else None, int(row.created_at))
+        if sequence < expected or early.get(sequence, event) != event:
+            strays.append((*key, sequence, None, None, None, None, "quarantined"))
+        else:
+            early[sequence] = event
+    while expected in early:
+        kind, to_status, created = early.pop(expected)
         expected += 1
-        if row.event_type == "qualifying_ban_applied":
-            count, last_ban = count + 1, int(row.created_at)
-        elif row.event_type == "qualifying_ban_overturned":
+        if kind == "qualifying_ban_applied":
+            count, last_ban = count + 1, created
+        elif kind == "qualifying_ban_overturned":
             count -= 1
-        elif row.event_type in ("phone_blocked", "phone_unblocked"):
-            status = row.to_status
-            blocked = int(row.created_at) if status == "blocked" else None
-    state.update((expected, count, status, blocked, last_ban))
-    rows = [(*key, expected - 1, count, status, blocked, last_ban, "projected"), *strays]
+        elif kind in ("phone_blocked", "phone_unblocked"):
+            status = to_status
+            blocked = created if status == "blocked" else None
+    state.update((expected, count, status, blocked, last_ban, json.dumps([[s, *e] for s, e in sorted(early.items())])))
+    held = [(*key, s, None, None, None, None, "held") for s in sorted(early)]
+    rows = [(*key, expected - 1, count, status, blocked, last_ban, "projected"), *held, *strays]
     out = pd.DataFrame(rows, columns=_REPUTATION)
     for column in ("ban_count", "blocked_at", "last_ban_at"):
         out[column] = out[column].astype("Int64")
@@ -188,12 +223,15 @@ def _reputation_step(key, frames, state: GroupState):
 
 
 def reputation_stream(log: DataFrame) -> DataFrame:
-    """Projection per (phone, generation) after each micro-batch; gaps are quarantined."""
+    """Projection per (phone, generation) after each micro-batch.
+
+    Events ahead of a gap are `held` and applied when it closes; repeated or contradicting ones are `quarantined`.
+    """
     return log.groupBy("phone", "generation").applyInPandasWithState(
         _reputation_step,
         "phone long, generation long, sequence long, ban_count long, status string, "
         "blocked_at long, last_ban_at long, outcome string",
-        "expected long, count long, status string, blocked long, last_ban long",
+        "expected long, count long, status string, blocked long, last_ban long, waiting string",
         "update",
         GroupStateTimeout.NoTimeout,
     )

@@ -46,3 +46,39 @@ def test_each_transcript_set_is_merged_once(spark, tmp_path):
     found = jobs.reconcile_stream(feed, variants, F.concat_ws("|", F.col("doc_id").cast("string"), "base"))
     got = sorted((r.doc_id, r.preview, r.singletons) for r in found.collect())
     assert got == [(1, "the cat!", 1), (2, "a b!", 1), (2, "other words!", 1), (3, "x!", 1)]
+
+
+def batches(spark, path, schema, *parts):
+    """A stream of one micro-batch for every part, in order."""
+    import time
+
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken by time
+    known = spark.read.parquet(path)
+    return spark.readStream.schema(known.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_early_events_wait_and_repeated_ones_are_put_aside(spark, tmp_path):
+    schema = "phone long, generation long, sequence long, event_type string, to_status string, created_at long"
+    ban, block = ("qualifying_ban_applied", None), ("phone_blocked", "blocked")
+    feed = batches(spark, str(tmp_path / "log"), schema, [(1, 1, 3, *ban, 30), (1, 1, 1, *ban, 10)], [(1, 1, 4, *block, 40)], [(1, 1, 2, *ban, 20), (1, 1, 1, *ban, 10)])
+    rows = jobs.run_to_table(jobs.reputation_stream(feed), "update").collect()
+    last = max((r for r in rows if r.outcome == "projected"), key=lambda r: r.batch_id)
+    assert (last.sequence, last.ban_count, last.status, last.blocked_at, last.last_ban_at) == (4, 3, "blocked", 40, 30)
+    assert [r.sequence for r in rows if r.outcome == "quarantined"] == [1]
+    assert sorted((r.batch_id, r.sequence) for r in rows if r.outcome == "held") == [(0, 3), (1, 3), (1, 4)]
+
+
+def test_an_earlier_reuse_corrects_the_first_report(spark, tmp_path):
+    schema = "family_id long, session_id long, used_at long, replaced_at long"
+    feed = batches(spark, str(tmp_path / "uses"), schema, [(1, 1, 100, 50)], [(1, 2, 60, 50), (2, 3, 5, None)], [(1, 4, 80, 50)])
+    rows = jobs.run_to_table(jobs.reuse_stream(feed), "append").collect()
+    assert sorted(r.reused_at for r in rows) == [60, 100]
+
+
+def test_late_events_are_kept_apart(spark, tmp_path):
+    feed = batches(spark, str(tmp_path / "events"), "event_id long, ms long", [(1, 1000), (1, 1000), (2, 5000)], [(2, 5000), (3, 10), (4, 4900)], [(4, 4900), (5, 9000)])
+    unique, late = jobs.dedupe_to_table(feed, "event_id", "ms", keep_ms=1000)
+    assert sorted(r.event_id for r in unique.collect()) == [1, 2, 4, 5]
+    assert [r.event_id for r in late.collect()] == [3]
