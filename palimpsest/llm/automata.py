@@ -8,8 +8,9 @@ id. Automata of the whole corpus cannot be sent to every document, so both meet
    segment, and anchors seen in one document only are dropped.
 2. *Shards.* Equal segments are one reference with its smallest document (folded before the shuffle). The
    references are dealt by anchor to shards of about `SHARD_WORDS` words: a bounded automaton each, built
-   where it is used. An anchor with very many segments that differ is cut into single windows first, which
-   are then their own anchors: no shard grows with a hot phrase.
+   where it is used. The segments of an anchor with very many different ones are halved by the place of the
+   anchor in the window, until the words that the windows of a half share tell the texts apart: no shard grows
+   with a hot phrase, and halves that stand in one document only leave.
 3. *Matching statistics.* A shard builds the suffix automaton of its references, with the smallest document
    of every state, and streams the segments of the documents through it: at every word the state of the
    longest match is cut to `window` words, and its smallest document decides about that window.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,21 +35,21 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
 from palimpsest.llm.sieve import maybe, sieve
-from palimpsest.llm.words import gram_hashes, run_hashes, slices, texts_of, word_hashes, words_of
+from palimpsest.llm.words import gram_hashes, mixed, run_hashes, slices, texts_of, word_hashes, words_of
 
 WINDOW = 50
 GRAM = 16
 SHARD_WORDS = 60_000
-#: Different segments of one anchor above which it is cut into windows.
+#: Different segments of one anchor above which they are halved.
 HOT_SEGMENTS = 400
 _PLACE = np.uint64((1 << 28) - 1)
 
 
 def _segments(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """For all texts of a slice: anchor hash, segment hash, first window and number of windows of every segment."""
+    """For all texts of a slice: anchor's place, segment hash, first window and number of windows of every segment."""
     none = np.zeros(0, np.int64)
     if len(hashes) < window:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none
     grams = gram_hashes(hashes, GRAM)
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)  # equal hashes: the first place wins
     reach, span = 1, window - GRAM + 1
@@ -59,14 +61,14 @@ def _segments(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.nd
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.flatnonzero(owner[: len(hashes) - window + 1] == owner[window - 1 :])
     if not len(start):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none
     anchor = (least[start] & _PLACE).astype(np.int64)
     fresh = np.ones(len(start), dtype=bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
     begin = np.flatnonzero(fresh)
     number = np.diff(np.append(begin, len(start)))
     at = start[begin]
-    return grams[anchor[begin]], run_hashes(hashes, at, at + number + window - 1), at, number
+    return anchor[begin], run_hashes(hashes, at, at + number + window - 1), at, number
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,24 +77,25 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(texts, words), words.first
 
 
-_SEGMENT = ["anchor", "content", "doc_id", "start", "number"]
+_SEGMENT = ["anchor", "content", "doc_id", "start", "number", "at"]
 
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`anchor, content, doc_id, start, number` of every segment of every whole text."""
+    """Every segment of every whole text: `anchor, content, doc_id, start, number` and the anchor's place `at`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, first = _hashed(part.column("text"))
-                anchor, content, at, number = _segments(hashes, first, window)
-                owner = np.searchsorted(first, at, "right") - 1
+                place, content, start, number = _segments(hashes, first, window)
+                owner = np.searchsorted(first, start, "right") - 1
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                columns = [anchor.view(np.int64), content.view(np.int64), ids[owner], at - first[owner], number]
+                anchor = gram_hashes(hashes, GRAM)[place] if len(place) else content
+                columns = [anchor.view(np.int64), content.view(np.int64), ids[owner], start - first[owner], number, place - first[owner]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _SEGMENT)
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return chosen.mapInArrow(run, "anchor long, content long, doc_id long, start long, number long")
+    return chosen.mapInArrow(run, ", ".join(f"{c} long" for c in _SEGMENT))
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -102,22 +105,47 @@ def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return asked.join(spans, "doc_id")
 
 
-def _windows(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
-    """The segments of hot anchors as single windows, each its own anchor."""
+def _halves(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """Segments of hot anchors, cut in two by the place of the anchor in the window.
+
+    The windows of a half have more words in common than the anchor; these and the half are their new anchor.
+    Equal windows stay together, since the place of the anchor is part of the window.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, first = _hashed(part.column("text"))
-                for i, (doc, spans) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("spans").to_pylist(), strict=True)):
-                    at = np.concatenate([np.arange(s["start"], s["start"] + s["number"]) for s in spans])
-                    at = np.unique(at[at + window <= first[i + 1] - first[i]])
-                    own = run_hashes(hashes, first[i] + at, first[i] + at + window).view(np.int64)
-                    columns = [own, own, np.full(len(at), doc), at, np.ones(len(at), np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _SEGMENT)
-
-    spans = hot.groupBy("doc_id").agg(F.collect_list(F.struct("start", "number")).alias("spans"))
-    return _with_spans(docs, spans).mapInArrow(run, "anchor long, content long, doc_id long, start long, number long")
+                spans = part.column("spans")
+                lists = np.diff(spans.offsets.to_numpy())
+                flat = spans.flatten()
+                span = {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+                doc = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), lists)
+                base, size = np.repeat(first[:-1], lists), np.repeat(np.diff(first), lists)
+                middle, newest = (span["low"] + span["high"]) // 2, span["at"] - span["start"]
+                for low, high in ((span["low"], middle), (middle, span["high"])):
+                    begin = np.maximum(low, newest - span["number"] + 1)
+                    end = np.minimum(high, newest + 1)
+                    start, number = span["at"] - end + 1, end - begin
+                    core = span["at"] - low, span["at"] - high + 1 + window
+                    fine = (number > 0) & (start >= 0) & (start + number + window - 1 <= size)
+                    place = base[fine]
+                    key = run_hashes(hashes, place + core[0][fine], place + core[1][fine])
+                    key = mixed(key ^ (low[fine].astype(np.uint64) << np.uint64(32)) ^ high[fine].astype(np.uint64))
+                    content = run_hashes(hashes, place + start[fine], place + (start + number + window - 1)[fine])
+                    columns = [key.view(np.int64), content.view(np.int64), doc[fine], start[fine], number[fine], span["at"][fine], low[fine], high[fine]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*_SEGMENT, "low", "high"])
+
+    spans = hot.groupBy("doc_id").agg(F.collect_list(F.struct("start", "number", "at", "low", "high")).alias("spans"))
+    return _with_spans(docs, spans).mapInArrow(run, ", ".join(f"{c} long" for c in [*_SEGMENT, "low", "high"]))
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """The rows whose anchor stands in two documents at least."""
+    by_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
+    shared = materialize(by_anchor.where("one < other").select("anchor"))
+    likely = maybe(found, F.col("anchor"), sieve(shared, "anchor")).where("`~maybe`").drop("~maybe")
+    return materialize(likely.join(shared, "anchor"))
 
 
 def _reference_words(docs: DataFrame, references: DataFrame, window: int) -> DataFrame:
@@ -239,23 +267,24 @@ def _match(window: int):
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`doc_id, spans`: word spans [start, end) that windows of smaller documents cover, a row per such document."""
-    found = materialize(segments(docs, window))
-    by_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = materialize(by_anchor.where("low < high").select("anchor"))
-    likely = maybe(found, F.col("anchor"), sieve(shared, "anchor")).where("`~maybe`").drop("~maybe")
-    met = materialize(likely.join(shared, "anchor"))
-    # different segments of an anchor, not its rows, make a shard grow
-    forms = met.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("one").alias("forms"))
-    hot = materialize(forms.where(F.col("forms") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot")))
-    told = met.join(hot, "anchor", "left")
-    cold = told.where("hot is null").drop("hot")
-    parts = materialize(cold.unionByName(_windows(docs, told.where("hot"), window)))
+    met = _shared(materialize(segments(docs, window)))
+    met = met.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(window - GRAM + 1).cast("long"))
+    settled = []
+    while True:
+        # different segments of an anchor, not its rows, make a shard grow
+        forms = met.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("one").alias("forms"))
+        hot = materialize(forms.where(F.col("forms") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot")))
+        if hot.isEmpty():
+            settled.append(met)
+            break
+        told = met.join(hot, "anchor", "left")
+        settled.append(materialize(told.where("hot is null").drop("hot")))
+        met = _shared(materialize(_halves(docs, told.where("hot"), window)))
+    parts = reduce(DataFrame.unionByName, settled).drop("at", "low", "high")
     references = parts.groupBy("anchor", "content").agg(
-        F.min("doc_id").alias("owner"), F.max("doc_id").alias("high"),
+        F.min("doc_id").alias("owner"),
         F.min_by("start", "doc_id").alias("start"), F.first("number").alias("number"),
     )
-    # a window cut from a hot anchor may turn out to stand in one document only
-    references = references.where("owner < high or anchor <> content").drop("high")
     words = references.agg(F.sum(F.col("number") + window - 1)).first()[0] or 0
     shard: Column = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-words // SHARD_WORDS)))).cast("int")
     texts = _reference_words(docs, references.withColumn("shard", shard), window)
