@@ -19,6 +19,7 @@ unknown language falls back to the script's band.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.bpe import Codec, codec
 from palimpsest.llm.words import Texts, Words, gram_hashes, slices, texts_of, word_hashes, words_of
 
+#: Words a process remembers; beyond it the memory starts anew (the results stay the same).
+REMEMBERED = 400_000
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
@@ -111,18 +114,28 @@ _pieces: dict[str, tuple] = {}
 
 
 def piece_model(path: str):
-    """The piece vocabulary, and which of its ids are bytes."""
+    """The piece vocabulary, which of its ids are bytes, and the words encoded so far in this process."""
     if path not in _pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        _pieces[path] = model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+        _pieces[path] = model, np.array([model.is_byte(i) for i in range(model.get_piece_size())]), {}
     return _pieces[path]
 
 
-def _ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _ragged(rows: list[array]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((i for r in rows for i in r), np.int64, int(size.sum())), size
+    return np.frombuffer(b"".join(rows), np.int32).astype(np.int64), size
+
+
+def _learn(new: list[bytes], byte_level: Codec, model, memory: dict[bytes, tuple[int, array]]) -> None:
+    """Encode new words: the number of byte-level tokens and the piece ids of each."""
+    as_text = [w.decode() for w in new]
+    cut = [byte_level.piece.findall(" " + w) for w in as_text]
+    known = list(set().union(*cut))
+    size_of = dict(zip(known, map(len, byte_level.encode_pieces([p.encode() for p in known])), strict=True))
+    for word, parts, ids in zip(new, cut, model.encode(as_text, num_threads=1) if new else [], strict=True):
+        memory[word] = sum(map(size_of.__getitem__, parts)), array("i", ids)
 
 
 def measures(texts: Texts, words: Words, hashes: np.ndarray, byte_level: Codec, pieces) -> np.ndarray:
@@ -133,13 +146,14 @@ def measures(texts: Texts, words: Words, hashes: np.ndarray, byte_level: Codec,
         return out
     raw, chars = texts.data.tobytes(), counted(_TOLD[texts.data], texts.offsets)
     _, seen, back = np.unique(hashes, return_index=True, return_inverse=True)
-    distinct = [raw[a:b].decode() for a, b in zip(words.start[seen].tolist(), words.end[seen].tolist(), strict=True)]
-    cut = [byte_level.piece.findall(" " + w) for w in distinct]
-    known = list(set().union(*cut))
-    size_of = dict(zip(known, map(len, byte_level.encode_pieces([p.encode() for p in known])), strict=True))
-    by_byte = np.fromiter((sum(map(size_of.__getitem__, c)) for c in cut), np.int64, len(cut))
-    model, is_byte = pieces
-    ids, size = _ragged(model.encode(distinct, num_threads=1))
+    distinct = [raw[a:b] for a, b in zip(words.start[seen].tolist(), words.end[seen].tolist(), strict=True)]
+    model, is_byte, memory = pieces
+    _learn([w for w in distinct if w not in memory], byte_level, model, memory)
+    found = list(map(memory.__getitem__, distinct))
+    by_byte = np.fromiter((n for n, _ in found), np.int64, len(found))
+    ids, size = _ragged([i for _, i in found])
+    if len(memory) > REMEMBERED:
+        memory.clear()
     bytes_in = np.concatenate(([0], np.cumsum(is_byte[ids])))
     end = np.cumsum(size)
     fallback = bytes_in[end] - bytes_in[end - size]
