@@ -220,6 +220,12 @@ def identity_lookup(identities: DataFrame) -> DataFrame:
     )
 
 
+def find_identity(identities: DataFrame, asked: DataFrame) -> DataFrame:
+    """The active identity of each asked `provider, subject`, if there is one."""
+    active = identities.where(F.col("status") == "active").select("provider", "subject", "identity_id", "user_id")
+    return asked.select("provider", "subject").distinct().join(active, ["provider", "subject"], "left")
+
+
 def revocation_cascade(
     targets: DataFrame, families: DataFrame, sessions: DataFrame, tokens: DataFrame
 ) -> DataFrame:

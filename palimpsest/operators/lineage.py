@@ -171,20 +171,28 @@ def dangling_references(artifacts: DataFrame, inputs: DataFrame) -> DataFrame:
     return absent.unionByName(unclear)
 
 
-def artifact_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert absent ids; the same id with other content is a collision."""
+def artifact_upsert(existing: DataFrame, incoming: DataFrame, scope: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """Insert absent ids; the same id with other content is a collision.
+
+    A new id whose content the run already has under the same `scope` columns is `duplicate_content`.
+    """
     keys = ["run_id", "artifact_id"]
     arriving = incoming.groupBy(*keys).agg(
         F.min("content_hash").alias("new_hash"),
         F.count_distinct("content_hash").alias("variants"),
+        *[F.min(c).alias(c) for c in scope],
     )
     stored = existing.select(*keys, F.col("content_hash").alias("old_hash"))
-    joined = arriving.join(stored, keys, "left")
+    held = existing.select("run_id", *scope, F.col("content_hash").alias("new_hash")).distinct()
+    joined = arriving.join(stored, keys, "left").join(
+        held.withColumn("held", F.lit(True)), ["run_id", *scope, "new_hash"], "left"
+    )
     outcome = (
         F.when(F.col("variants") > 1, "collision")
-        .when(F.col("old_hash").isNull(), "inserted")
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged")
-        .otherwise("collision")
+        .when(F.col("old_hash").isNotNull(), "collision")
+        .when(F.col("held"), "duplicate_content")
+        .otherwise("inserted")
     )
     return joined.select(*keys, outcome.alias("outcome"))
 

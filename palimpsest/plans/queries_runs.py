@@ -86,13 +86,19 @@ def id_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "artifact_upsert",
-    with_(recipe_sql("artifacts"))
-    + """SELECT n.run_id, n.artifact_id, CASE WHEN o.artifact_id IS NULL THEN 'inserted'
-  WHEN o.content_hash = n.h THEN 'unchanged' ELSE 'collision' END AS outcome
-FROM (SELECT *, CASE WHEN created_at % 50 = 0 THEN content_hash || 'x' ELSE content_hash END AS h
-      FROM artifacts WHERE place >= 2) n
-LEFT JOIN (SELECT * FROM artifacts WHERE place <= 3) o
-  ON o.run_id = n.run_id AND o.artifact_id = n.artifact_id""",
+    with_(
+        recipe_sql("artifacts"),
+        """n AS (SELECT run_id, artifact_id, kind,
+    CASE WHEN created_at % 50 = 0 THEN content_hash || 'x' ELSE content_hash END AS h
+  FROM artifacts WHERE place >= 2
+  UNION ALL SELECT run_id, artifact_id + 50, kind, content_hash FROM artifacts WHERE place = 1),
+o AS (SELECT * FROM artifacts WHERE place <= 3)""",
+    )
+    + """SELECT n.run_id, n.artifact_id, CASE WHEN o.content_hash = n.h THEN 'unchanged'
+  WHEN o.artifact_id IS NOT NULL THEN 'collision'
+  WHEN EXISTS (SELECT 1 FROM o d WHERE d.run_id = n.run_id AND d.kind = n.kind
+    AND d.content_hash = n.h) THEN 'duplicate_content' ELSE 'inserted' END AS outcome
+FROM n LEFT JOIN o ON o.run_id = n.run_id AND o.artifact_id = n.artifact_id""",
 )
 def artifact_upsert(spark: SparkSession, folder: str) -> DataFrame:
     rows = recipe(spark, folder, "artifacts")
@@ -100,6 +106,8 @@ def artifact_upsert(spark: SparkSession, folder: str) -> DataFrame:
         F.col("created_at") % 50 == 0, F.concat("content_hash", F.lit("x"))
     ).otherwise(F.col("content_hash"))
     incoming = rows.where(F.col("place") >= 2).withColumn("content_hash", changed)
+    again = rows.where(F.col("place") == 1).withColumn("artifact_id", F.col("artifact_id") + 50)
+    incoming = incoming.unionByName(again)
     return L.artifact_upsert(rows.where(F.col("place") <= 3), incoming)
 
 
