@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.words import Texts, Words, slices, texts_of, word_hashes
 
-#: Distinct stretches a task remembers; beyond it the memory starts anew (the results stay the same).
-REMEMBERED = 600_000
+#: Distinct stretches of a generation: a process remembers the last two (the results do not depend on it).
+REMEMBERED = 150_000
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value: results depend on it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -95,8 +95,23 @@ class Encoded:
     text: np.ndarray
     text_at: np.ndarray
     sizes: np.ndarray
+    pool: list[bytes]
+    index: np.ndarray
+    first: np.ndarray
     apart: dict[int, tuple[str, str, int]]
 
+    def ids(self) -> pa.ListArray:
+        """The ids of every text as a list of 32-bit numbers; only distinct stretches are parsed."""
+        if self.apart:
+            return pa.array([list(map(int, line.split(b","))) if line else [] for line, _, _ in self], pa.list_(pa.int32()))
+        parsed = np.array(b"".join(self.pool)[:-1].split(b",")).astype(np.int32) if self.pool else np.zeros(0, np.int32)
+        size = np.fromiter((x.count(b",") for x in self.pool), np.int64, len(self.pool))
+        start = np.cumsum(size) - size
+        taken = size[self.index]
+        end = np.concatenate(([0], np.cumsum(taken)))
+        values = parsed[np.repeat(start[self.index] - end[:-1], taken) + np.arange(end[-1])]
+        return pa.ListArray.from_arrays(pa.array(end[self.first], pa.int32()), pa.array(values, pa.int32()))
+
     def __iter__(self) -> Iterator[tuple[bytes, bytes, int]]:
         """For every text its line without the last comma, the decoded bytes and the number of ids."""
         line, text, at, to = self.line.tobytes(), self.text.tobytes(), self.line_at.tolist(), self.text_at.tolist()
@@ -138,6 +153,7 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.lines: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes, int]] = {}
         self.plain = {str(i): token for i, token in self.bytes_of.items()}
         self.counts = {"pieces": 0, "pairs": 0, "merged": 0}
 
@@ -367,16 +383,21 @@ class Codec:
         _, seen, back = np.unique(hashes, return_index=True, return_inverse=True)
         units = [raw[i:j] for i, j in zip(cuts[seen].tolist(), ends[seen].tolist(), strict=True)]
         if len(self.lines) > REMEMBERED:
-            self.lines.clear()
-        new = [u for u in units if u not in self.lines]
+            self.lines, self.older = {}, self.lines
+        lines, older = self.lines, self.older
+        for u in units:
+            if u not in lines and u in older:
+                lines[u] = older[u]
+        new = [u for u in units if u not in lines]
         if new:
             self._learn(new)
-        found = list(map(self.lines.__getitem__, units))
-        line, line_at = _gather([x[0] for x in found], back, first)
+        found = list(map(lines.__getitem__, units))
+        pool = [x[0] for x in found]
+        line, line_at = _gather(pool, back, first)
         text, text_at = _gather([x[1] for x in found], back, first)
         sizes = np.fromiter((x[2] for x in found), np.int64, len(found))
         total = np.concatenate(([0], np.cumsum(sizes[back])))
-        out = Encoded(line, line_at, text, text_at, np.diff(total[first]), {})
+        out = Encoded(line, line_at, text, text_at, np.diff(total[first]), pool, back, first, {})
         for i in self._doubtful(raw, data, offsets, text, text_at):
             ids = self._text_ids(raw[offsets[i] : offsets[i + 1]].decode())
             out.apart[i] = ",".join(map(str, ids)), self.decode_line(",".join(map(str, ids))), len(ids)
@@ -419,8 +440,8 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         known = codec(vocabulary)
         for batch in batches:
             for part in slices(batch):
-                ids = [list(map(int, x.split(b","))) if x else [] for x, _, _ in known.encode_slice(texts_of(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+                ids = known.encode_slice(texts_of(part.column("text"))).ids()
+                yield pa.RecordBatch.from_arrays([part.column("key"), ids], ["key", "ids"])
 
     chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.bpe import Codec, codec
 from palimpsest.llm.words import Texts, Words, gram_hashes, slices, texts_of, word_hashes, words_of
 
-#: Words a process remembers; beyond it the memory starts anew (the results stay the same).
-REMEMBERED = 400_000
+#: Words of a generation: a process remembers the last two (the results do not depend on it).
+REMEMBERED = 120_000
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
@@ -119,7 +119,7 @@ def piece_model(path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        _pieces[path] = model, np.array([model.is_byte(i) for i in range(model.get_piece_size())]), {}
+        _pieces[path] = model, np.array([model.is_byte(i) for i in range(model.get_piece_size())]), [{}, {}]
     return _pieces[path]
 
 
@@ -148,12 +148,14 @@ def measures(texts: Texts, words: Words, hashes: np.ndarray, byte_level: Codec,
     _, seen, back = np.unique(hashes, return_index=True, return_inverse=True)
     distinct = [raw[a:b] for a, b in zip(words.start[seen].tolist(), words.end[seen].tolist(), strict=True)]
     model, is_byte, memory = pieces
+    if len(memory[0]) > REMEMBERED:
+        memory[:] = {}, memory[0]
+    memory, older = memory
+    memory.update((w, older[w]) for w in distinct if w not in memory and w in older)
     _learn([w for w in distinct if w not in memory], byte_level, model, memory)
     found = list(map(memory.__getitem__, distinct))
     by_byte = np.fromiter((n for n, _ in found), np.int64, len(found))
     ids, size = _ragged([i for _, i in found])
-    if len(memory) > REMEMBERED:
-        memory.clear()
     bytes_in = np.concatenate(([0], np.cumsum(is_byte[ids])))
     end = np.cumsum(size)
     fallback = bytes_in[end] - bytes_in[end - size]
