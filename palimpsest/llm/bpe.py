@@ -365,6 +365,11 @@ class Codec:
                 line, text, size = zip(*map(known.__getitem__, parts), strict=True)
                 self.lines[unit] = b"".join(line), b"".join(text), sum(size)
 
+    def forget(self) -> None:
+        """Let go of stretches and pairs: a worker process may serve other operators next."""
+        self.lines, self.older = {}, {}
+        self.pairs.clear()
+
     def encode_slice(self, texts: Texts) -> Encoded:
         """All texts of a slice: distinct stretches are encoded once, and gathered per text."""
         gc.disable()  # millions of small objects without cycles
@@ -442,6 +447,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
             for part in slices(batch):
                 ids = known.encode_slice(texts_of(part.column("text"))).ids()
                 yield pa.RecordBatch.from_arrays([part.column("key"), ids], ["key", "ids"])
+        known.forget()
 
     chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
@@ -476,6 +482,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 )
+        known.forget()
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

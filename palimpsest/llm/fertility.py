@@ -212,6 +212,8 @@ def judge(docs: DataFrame, byte_level: str, pieces: str, bands: dict | None = No
                 columns += [pa.array(failed), pa.array(~failed & within), pa.array(band, pa.string())]
                 columns += [pa.array(found[:, k], pa.float64(), from_pandas=True) for k in range(len(NAMES))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *base, "base_failed", "kept", "band", *NAMES])
+        known.forget()
+        model[2][:] = {}, {}
 
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
