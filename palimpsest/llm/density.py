@@ -11,7 +11,8 @@ and LT; children are the nearest blocks below, so that emphasis inside a paragra
 of the largest sum; the smallest density on its path up to the body is the threshold, and every other
 branch that reaches it adds its own subtree of the largest sum. Elements that are no article by their name,
 role, class or id (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments) take no part.
+reader comments) take no part. Classes and ids set no body, main or article apart and nothing that holds one, but for
+comments, adverts and other articles beside the running text; words of a layout (`no-sidebar`, `comments-open`) say nothing.
 
 Defined results: null or empty pages give an empty text; tags that are never closed end with what holds
 them; a page without body is its own body; if nothing has children the body is the article. Pages of any
@@ -44,6 +45,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_ARTICLE = frozenset(
     "nav footer aside form script style noscript template button select option input textarea iframe object embed svg canvas "
     "head title dialog menu label fieldset audio video map".split()
@@ -55,6 +57,14 @@ AROUND = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond "
     "related recommended recommendations widget widgets pager pagination search skip complementary contentinfo search dialog".split()
 )
+#: Those of them that name texts of others: readers, advertisers, other articles.
+OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted sidebar aside footer comment comments disqus "
+    "reply replies respond related recommended recommendations".split()
+)
+#: Words after these say how a page is laid out (`no-sidebar`, `has-comments`), as do words before those (`comments-open`).
+LAYOUT_BEFORE = frozenset("no not without has have with".split())
+LAYOUT_AFTER = frozenset("open opened closed enabled disabled".split())
 #: Parts of one word that name them too (`sitefooter`, `commentlist`).
 AROUND_PARTS = ("sidebar", "footer", "comment", "advert", "navbar", "cookie", "newsletter", "breadcrumb", "sponsor")
 #: Tags that end an open paragraph or item of the same kind.
@@ -67,16 +77,47 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.apart, self.held = ["html"], [-1], [False], [False]
+        self.named: dict[int, frozenset[str]] = {}  # nodes whose class, id or role names a part around an article
         self.pieces: list[tuple[int, str | None]] = []  # text at a node, or None for a block edge
         self._parse(html)
+        self._set_apart()
 
     def _open(self, tag: str, parent: int, apart: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
-        self.apart.append(apart or self.apart[parent])
+        self.apart.append(apart)
         self.held.append(self.held[parent] or tag in ("article", "main"))
         return len(self.tag) - 1
 
+    def _set_apart(self) -> None:
+        """Settle which named nodes are apart, and hand that down.
+
+        A name sets no body, main or article apart and nothing that holds a main or article. Only what is named
+        as a text of others may hold articles (reader comments are articles too), and only while other running
+        text of an article or main is left.
+        """
+        n, parent = len(self.tag), self.parent
+        holds = [t in ("article", "main") for t in self.tag]
+        for node in range(n - 1, 0, -1):
+            holds[parent[node]] |= holds[node]
+        others = []
+        for node, words in self.named.items():
+            if self.tag[node] in ("body", "main"):
+                continue
+            if not holds[node]:
+                self.apart[node] = True
+            elif words & OTHERS and (self.tag[node] != "article" or self.held[parent[node]]):
+                others.append(node)
+        if others:
+            out, own = list(self.apart), set(others)
+            for node in range(1, n):
+                out[node] |= out[parent[node]] or node in own or self.tag[node] in HEADING or self.tag[node] == "a"
+            if any(text and self.held[node] and not out[node] and not text.isspace() for node, text in self.pieces):
+                for node in others:
+                    self.apart[node] = True
+        for node in range(1, n):
+            self.apart[node] |= self.apart[parent[node]]
+
     def _parse(self, html: str) -> None:
         stack, at, find = [0], 0, _TOKEN.search
         tag_of, pieces = self.tag, self.pieces
@@ -114,7 +155,9 @@ class Page:
                         break
                     if tag_of[stack[depth]] in SCOPES[name]:
                         break
-            node = self._open(name, stack[-1], name in NO_ARTICLE or (name == "header" and not self.held[stack[-1]]) or around(rest))
+            node = self._open(name, stack[-1], name in NO_ARTICLE or (name == "header" and not self.held[stack[-1]]) or (name != "body" and hidden(rest)))
+            if words := around(rest):
+                self.named[node] = words
             if name == "br" or name in ("td", "th"):
                 pieces.append((node, " "))
             if name in RAW:
@@ -135,19 +178,30 @@ class Page:
                 return
 
 
-def around(attributes: str) -> bool:
-    """Whether class, id or role name a part around an article, or the element is hidden."""
-    if not attributes:
-        return False
+def marks(attributes: str) -> Iterator[tuple[str, str]]:
     for key, one, two, three in _MARK.findall(attributes):
-        key, value = key.lower(), one or two or three
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        for word in _WORD.findall(value):
-            word = word.lower()
-            if word in AROUND or any(part in word for part in AROUND_PARTS):
-                return True
-    return False
+        yield key.lower(), one or two or three
+
+
+def hidden(attributes: str) -> bool:
+    return any(key == "hidden" or (key == "aria-hidden" and value.lower() == "true") for key, value in marks(attributes))
+
+
+def around(attributes: str) -> frozenset[str]:
+    """Words of class, id or role that name a part around an article; the state of a layout is none."""
+    found = set()
+    for key, value in marks(attributes):
+        if key in ("hidden", "aria-hidden"):
+            continue
+        for token in value.lower().split():
+            words = _WORD.findall(token)
+            for at, word in enumerate(words):
+                if word in LAYOUT_BEFORE or (at + 1 < len(words) and words[at + 1] in LAYOUT_AFTER):
+                    break
+                if word in AROUND:
+                    found.add(word)
+                found.update(part for part in AROUND_PARTS if part in word)
+    return frozenset(found)
 
 
 def is_block(tag: str) -> bool:

@@ -237,6 +237,22 @@ def test_extraction_cases(html, text):
     assert density.main_text(html) == (page if text == "PAGE" else text)
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body class='single no-sidebar'>{ARTICLE}</body>", f"<body class='post comments-open'><div>{ARTICLE}</div></body>",
+        f"<body id=sidebar-left><main class=widget>{ARTICLE}</main></body>", f"<article class='post social-share'>{ARTICLE}</article>",
+        f"<div class='content has-sidebar'>{ARTICLE}</div>", f"<div class='page-with-sidebar nav-open'>{ARTICLE}</div>",
+        f"<div class='widget-area sidebar-wrap'><article>{ARTICLE}</article></div>", f"<main><div class='related'><article>{ARTICLE}</article></div></main>",
+        f"<div class=banner><main><div class=share>Tell</div>{ARTICLE}</main></div><div class='sidebar'><p>Beside it</p></div>",
+        f"<article>{ARTICLE}</article><section id=comments><article class=comment><p>Words of a reader</p></article></section>",
+        f"<main>{ARTICLE}<div class=comments><article><p>Words of a reader</p></article></div></main>",
+    ],
+)
+def test_extraction_of_pages_with_layout_names(html):
+    assert density.main_text(html) == "A long paragraph of the article, with many words in it.\nAnother <one> of them, also long enough."
+
+
 def test_extraction_keeps_every_row(spark):
     rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>x</p>", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
