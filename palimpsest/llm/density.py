@@ -9,7 +9,10 @@ whole body's (zero counts stand as one):
 The sum of a node's child densities is largest where running text is collected. Tags of all kinds count in T
 and LT; children are the nearest blocks below, so that emphasis inside a paragraph is no part of its own. The main subtree is the one
 of the largest sum; the smallest density on its path up to the body is the threshold, and every other
-branch that reaches it adds its own subtree of the largest sum. Elements that are no article by their name,
+branch that reaches it is accepted. Densities only locate the article. The whole article (or main) that holds an
+accepted subtree is read, with its titles in main and the articles next to it that are not mostly links. Without an article or main
+all branches beside the main subtree that are not mostly links are accepted too, and all from the first to the last
+accepted block is read: only lists of links before and after it are left out. Elements that are no article by their name,
 role, class or id (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments) take no part. Classes and ids set no body, main or article apart and nothing that holds one, but for
 comments, adverts and other articles beside the running text; words of a layout (`no-sidebar`, `comments-open`) say nothing.
@@ -46,6 +49,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLES = HEADING | {"header", "hgroup"}
 NO_ARTICLE = frozenset(
     "nav footer aside form script style noscript template button select option input textarea iframe object embed svg canvas "
     "head title dialog menu label fieldset audio video map".split()
@@ -208,8 +212,8 @@ def is_block(tag: str) -> bool:
     return tag in BLOCK or tag in ("td", "th")
 
 
-def densities(page: Page) -> tuple[list[float], list[float], int]:
-    """Density and sum of child densities of every node, and the body's number."""
+def densities(page: Page) -> tuple[list[float], list[float], int, list[bool]]:
+    """Density and sum of child densities of every node, the body's number, and which nodes are mostly links."""
     n = len(page.tag)
     chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in page.pieces:
@@ -241,35 +245,47 @@ def densities(page: Page) -> tuple[list[float], list[float], int]:
             while up > 0 and not is_block(page.tag[up]):
                 up = page.parent[up]
             sums[up] += density[node]
-    return density, sums, body
+    return density, sums, body, [c > 0 and 2 * a >= c for a, c in zip(linked, chars, strict=True)]
 
 
-def main_nodes(page: Page) -> list[int]:
-    """Roots of the subtrees that make the article."""
-    density, sums, body = densities(page)
+def main_nodes(page: Page) -> tuple[list[int], list[int]]:
+    """Roots of the subtrees that make the article; without an article or main around it also the nodes that hold them."""
+    density, sums, body, listed = densities(page)
     within = [False] * len(page.tag)
     for node in range(len(page.tag)):
         within[node] = node == body or (node > 0 and within[page.parent[node]])
     inside = [i for i in range(len(page.tag)) if within[i] and not page.apart[i]]
     best = max(inside, key=lambda i: (sums[i], -i), default=body)
     if sums[best] <= 0:
-        return [body]
+        return [body], []
     path, at = [best], best
     while at != body:
         at = page.parent[at]
         path.append(at)
     threshold = min(density[i] for i in path)
-    # the largest sum below every node, itself included
-    top = list(range(len(page.tag)))
-    for node in range(len(page.tag) - 1, 0, -1):
-        up = page.parent[node]
-        if not page.apart[node] and sums[top[node]] > sums[top[up]]:
-            top[up] = top[node]
-    on_path, roots = set(path), [best]
-    for node in inside:
-        if node not in on_path and page.parent[node] in on_path and page.parent[node] != best and density[node] >= threshold:
-            roots.append(top[node] if sums[top[node]] > 0 else node)
-    return roots
+    on_path = set(path)
+    beside = [i for i in inside if i not in on_path and page.parent[i] in on_path and page.parent[i] != best]
+    roots = [best] + [i for i in beside if density[i] >= threshold]
+    whole = holder(page, best)
+    if whole < 0:
+        # its title, lead and short sections stand beside it; lists of links count only between them
+        return roots + [i for i in beside if density[i] < threshold and not listed[i]], path[1:]
+    # what holds a root is the article, and so are the articles next to it
+    roots = [i if holder(page, i) < 0 else holder(page, i) for i in roots]
+    alike = [i for i in inside if page.tag[i] == page.tag[whole] == "article" and page.parent[i] == page.parent[whole]]
+    alike = [i for i in alike if not listed[i] and not page.named.get(i, frozenset()) & OTHERS]
+    titles = [i for i in inside if page.tag[i] in TITLES and page.held[page.parent[i]] and page.parent[i] in on_path and page.parent[i] != best]
+    return roots + alike + titles, []
+
+
+def holder(page: Page, node: int) -> int:
+    """The nearest article or main around a node, itself included; of articles inside one another the outermost. -1: none."""
+    found = -1
+    while node > 0:
+        if page.tag[node] == "article" or (page.tag[node] == "main" and found < 0):
+            found = node
+        node = page.parent[node]
+    return found
 
 
 def main_text(html: str | None) -> str:
@@ -277,10 +293,16 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    chosen = set(main_nodes(page))
-    inside = [False] * len(page.tag)
+    roots, path = main_nodes(page)
+    chosen, inside = set(roots), [False] * len(page.tag)
     for node in range(len(page.tag)):
         inside[node] = (node in chosen or (node > 0 and inside[page.parent[node]])) and not page.apart[node]
+    if path:
+        for node in path:  # texts of their own
+            inside[node] = True
+        accepted = [i for i, (node, text) in enumerate(page.pieces) if inside[node] and text and not text.isspace()]
+        for node, _ in page.pieces[accepted[0] : accepted[-1]]:
+            inside[node] |= not page.apart[node]
     blocks, held = [], []
     for node, text in [*page.pieces, (0, None)]:
         if text is None:

@@ -253,6 +253,20 @@ def test_extraction_of_pages_with_layout_names(html):
     assert density.main_text(html) == "A long paragraph of the article, with many words in it.\nAnother <one> of them, also long enough."
 
 
+def test_extraction_keeps_titles_leads_and_short_sections():
+    body = "".join(f"<p>{f'word{i} ' * 40}</p>" for i in range(5))
+    text = "\n".join(" ".join([f"word{i}"] * 40) for i in range(5))
+    inner = f"<h1>Short title</h1><p>{'lead ' * 40}</p><div>{body}</div><section><h2>Note</h2><p>Short words</p></section>"
+    wanted = "\n".join(["Short title", " ".join(["lead"] * 40), text, "Note", "Short words"])
+    links = "<ul><li><a href=x>Home</a></li><li><a href=y>Away</a></li></ul>"
+    for page in (f"<article>{inner}</article>", f"<main>{inner}</main>", inner, f"<div>{links}<div>{inner}</div>{links}</div>"):
+        assert density.main_text(f"<body>{page}</body>") == wanted
+    assert density.main_text(f"<main><header><h1>Title</h1></header><div><h2>Sub</h2><article>{body}</article></div></main>") == f"Title\nSub\n{text}"
+    twice = f"<main>{links}<article>{inner}</article><article><h2>Second</h2><p>Short too</p></article></main>"
+    assert density.main_text(twice) == f"{wanted}\nSecond\nShort too"
+    assert density.main_text(f"<body>Loose lead<div>{body}</div>{links}<p>End</p></body>") == f"Loose lead\n{text}\nHome\nAway\nEnd"
+
+
 def test_extraction_keeps_every_row(spark):
     rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>x</p>", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
