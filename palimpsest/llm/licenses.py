@@ -1,7 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule is a regular expression over lower-cased text with a keyword it cannot match without, a priority
-and a label. Only rules whose keyword stands in a text run on it. Overlapping detections are resolved by
+A rule is a regular expression over lower-cased text with words it cannot match without, a priority and a
+label. Only rules whose words all stand in a text, in any place, run on it: a rule may be matched over line ends, so its
+words are sought one by one. Alternatives of a rule have words of their own. Overlapping detections are resolved by
 priority: one that lies inside the interval of a stronger one is suppressed (of equal priority the
 longer wins, then the earlier, then the smaller label); partial overlaps stay.
 
@@ -40,15 +41,15 @@ _EDGE = r"[0-9a-z\x80-\xff]"
 
 @dataclass(frozen=True)
 class Rule:
-    keyword: bytes
+    keyword: bytes  # words that every match holds; alternatives are parted by "|"
     pattern: str
     priority: int
     label: str
 
 
-#: Families: label stem, prefilter keyword, expression of the name, versions (as label suffixes).
+#: Families: label stem, prefilter words, expression of the name, versions (as label suffixes).
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat)(?:/x11)?(?:[ -]style)?", ()),
+    ("mit", "mit|expat", r"(?:mit|expat)(?:/x11)?(?:[ -]style)?", ()),
     ("apache", "apache", r"apache(?: software)?(?: foundation)?", ("1.0", "1.1", "2")),
     ("gpl", "gpl", r"(?:gnu )?gpl", ("1", "2", "3")),
     ("gpl", "general public", r"(?:gnu )?general public", ("1", "2", "3")),
@@ -87,7 +88,7 @@ FAMILIES = (
     ("cecill", "cecill", r"cecill(?:-[abc])?", ("1.0", "2.0", "2.1")),
     ("upl", "universal permissive", r"universal permissive", ("1.0",)),
     ("llama", "llama", r"llama(?: [23])? community", ()),
-    ("openrail", "openrail", r"(?:creativeml )?open ?rail(?:-m)?", ()),
+    ("openrail", "open rail", r"(?:creativeml )?open ?rail(?:-m)?", ()),
 )
 
 #: Creative Commons: label and expression of the terms.
@@ -100,23 +101,22 @@ COMMONS = (
     ("cc-by-nc-nd", r"by[ -]nc[ -]nd|attribution[ -]non[ -]?commercial[ -]no[ -]?deriv(?:ative)?s?(?: works)?"),
 )
 
-#: Single signatures: keyword, expression, priority, label.
+#: Single signatures: prefilter words, expression, priority, label.
 SINGLE = (
-    ("unlicense", r"(?:the )?unlicen[sc]e", 60, "unlicense"),
+    ("unlicen", r"(?:the )?unlicen[sc]e", 60, "unlicense"),
     ("public domain", r"(?:dedicated to|released into|in) the public domain", 65, "public-domain"),
     ("cc0", r"cc0(?: ?1\.0)?(?: universal)?", 75, "cc0"),
-    ("wtfpl", r"wtfpl|do what the f\w* you want to public licen[sc]e", 70, "wtfpl"),
+    ("wtfpl|what you want public", r"wtfpl|do what the f\w* you want to public licen[sc]e", 70, "wtfpl"),
     ("all rights reserved", r"all rights reserved", 40, "proprietary"),
     ("proprietary and confidential", r"proprietary and confidential", 70, "proprietary"),
     ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person", 55, "mit"),
-    ("redistribution and use in source", r"redistribution and use in source and binary forms", 55, "bsd"),
-    ("permission to use, copy, modify", r"permission to use, copy, modify,? and/?o?r? distribute this software", 55, "isc"),
-    ("this file is part of", r"under the terms of the gnu general public licen[sc]e", 72, "gpl"),
+    ("redistribution source binary forms", r"redistribution and use in source and binary forms", 55, "bsd"),
+    ("permission copy modify distribute", r"permission to use, copy, modify,? and/?o?r? distribute this software", 55, "isc"),
+    ("terms gnu general public", r"under the terms of the gnu general public licen[sc]e", 72, "gpl"),
     ("share and adapt", r"free to share and adapt", 45, "cc-by"),
-    ("ogl", r"open government licen[sc]e(?: v?[123](?:\.0)?)?", 70, "ogl-uk"),
-    ("government licen", r"open government licen[sc]e(?: v?[123](?:\.0)?)?", 70, "ogl-uk"),
-    ("etalab", r"licence ouverte|etalab(?: 2\.0)?", 70, "etalab"),
-    ("beerware", r"beer-?ware licen[sc]e", 60, "beerware"),
+    ("open government licen", r"open government licen[sc]e(?: v?[123](?:\.0)?)?", 70, "ogl-uk"),
+    ("etalab|licence ouverte", r"licence ouverte|etalab(?: 2\.0)?", 70, "etalab"),
+    ("beer ware licen", r"beer-?ware licen[sc]e", 60, "beerware"),
 )
 
 #: What surrounds a name: priority and expression. The more it says, the stronger it is.
@@ -146,8 +146,7 @@ def build_rules() -> list[Rule]:
             rules.append(Rule(b"spdx-license", rf"spdx-license-identifier: ?{re.escape(spdx)}(?:\.0)?(?:-only|-or-later|\+)?(?![0-9a-z.-])", 100, spdx))
     for label, terms in COMMONS:
         named = rf"(?:creative commons|cc)[ -](?:{terms})(?! ?[-]?(?:sa|nc|nd)\b)(?: (?:international |unported )?(?:licen[sc]e,?)?)?(?: ?v?[1-4]\.[05])?"
-        for keyword in (b"creative commons", b"cc"):
-            rules += [Rule(keyword, c.format(name=named), p + label.count("-"), label) for p, c in CONTEXTS]
+        rules += [Rule(b"creative commons|cc", c.format(name=named), p + label.count("-"), label) for p, c in CONTEXTS]
         rules.append(Rule(b"creativecommons.org", rf"creativecommons\.org/licenses/{label[3:]}/[1-4]\.[05]", 95, label))
     rules += [Rule(k.encode(), p, rank, label) for k, p, rank, label in SINGLE]
     return rules
@@ -161,6 +160,7 @@ class Scanner:
             spaced = re.sub(r"\[ -\]|(?<!\[) (?![?*+-])", lambda m: r"[\x09-\x0d -]" if len(m[0]) > 1 else r"[\x09-\x0d ]+", rule.pattern)
             edged = rf"(?<!{_EDGE})(?:{spaced})(?!{_EDGE})"
             self.by_keyword.setdefault(rule.keyword, []).append((re.compile(edged.encode("latin-1")), rule.priority, rule.label))
+        self.needs = {k: [frozenset(words.split()) for words in k.split(b"|")] for k in self.by_keyword}
         self.base = [
             ([w.encode() for w in words], re.compile(f"(?<!{_EDGE}){_GAP.join(words)}(?!{_EDGE})".encode("latin-1")), label)
             for words, label in PHRASES
@@ -207,21 +207,29 @@ SCHEMA = (
 )
 
 
+def _rows_with(raw: bytes, offsets: np.ndarray, word: bytes) -> set[int]:
+    """Texts in which a word stands, also inside other words."""
+    rows, at = set(), raw.find(word)
+    while at >= 0:
+        row = int(np.searchsorted(offsets, at, "right")) - 1
+        if at + len(word) <= offsets[row + 1]:
+            rows.add(row)
+            at = raw.find(word, offsets[row + 1])  # one place in a text is enough
+        else:
+            at = raw.find(word, at + 1)
+    return rows
+
+
 def _scan_slice(part: pa.RecordBatch) -> pa.RecordBatch:
     known = scanner()
     texts = lowered(texts_of(part.column("text")))
     words = words_of(texts, _BREAK)
     raw, offsets = texts.data.tobytes(), texts.offsets
+    stands = {w: _rows_with(raw, offsets, w) for w in set().union(*(words for some in known.needs.values() for words in some))}
     hits: dict[int, set[bytes]] = {}
-    for keyword in known.by_keyword:
-        at = raw.find(keyword)
-        while at >= 0:
-            row = int(np.searchsorted(offsets, at, "right")) - 1
-            if at + len(keyword) <= offsets[row + 1]:
-                hits.setdefault(row, set()).add(keyword)
-                at = raw.find(keyword, offsets[row + 1])  # one place in a text is enough
-            else:
-                at = raw.find(keyword, at + 1)
+    for keyword, some in known.needs.items():
+        for row in set().union(*(set.intersection(*(stands[w] for w in words)) for words in some)):
+            hits.setdefault(row, set()).add(keyword)
     rows = []
     for i in range(len(texts)):
         keywords = hits.get(i)

@@ -1,6 +1,7 @@
 """Operators that judge or rewrite single texts: fertility, licenses, quality, language, extraction, tokens."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -122,6 +123,51 @@ def test_license_rules_and_suppression():
     assert licenses.resolve([]) == []
 
 
+def drawn(tree, rng):
+    """A text that a parsed expression matches (look-arounds apart)."""
+    from re import _constants as c
+
+    out = ""
+    for kind, value in tree:
+        if kind is c.LITERAL:
+            out += chr(value)
+        elif kind is c.IN:
+            first = rng.choice([v for v in value if v[0] in (c.LITERAL, c.RANGE, c.CATEGORY)])
+            out += {c.LITERAL: lambda v: chr(v), c.RANGE: lambda v: chr(rng.randint(*v)), c.CATEGORY: lambda v: "w"}[first[0]](first[1])
+        elif kind is c.MAX_REPEAT:
+            out += "".join(drawn(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        elif kind is c.SUBPATTERN:
+            out += drawn(value[3], rng)
+        elif kind is c.BRANCH:
+            out += drawn(rng.choice(value[1]), rng)
+        elif kind not in (c.ASSERT, c.ASSERT_NOT, c.AT):
+            raise ValueError(kind)
+    return out
+
+
+WRAPPED = (
+    "GNU General\nPublic License version 3", "European Union\nPublic License 1.2", "GNU Free\nDocumentation License 1.3", "in the public\ndomain",
+    "Permission is hereby\ngranted, free of charge, to any person", "Expat License", "do what the fuck you want to public license",
+    "beer-ware license", "Licence Ouverte", "CreativeML Open RAIL-M license", "under the terms of the\n GNU General Public License",
+    "Creative\tCommons Attribution 4.0", "Redistribution and\nuse in source and\nbinary forms", "All rights\nreserved", "free to share\nand adapt",
+    "permission to use, copy,\nmodify, and/or distribute this software", "open\ngovernment licence v3", "Lesser\nGeneral Public License 2.1",
+)
+
+
+def test_license_prefilter_loses_no_match():
+    rng, known = random.Random(7), licenses.scanner()
+    rules = [pattern for some in known.by_keyword.values() for pattern, _, _ in some]
+    trees = [re._parser.parse(pattern.pattern.decode("latin-1")) for pattern in rules]
+    texts = [*WRAPPED, *(drawn(tree, rng) for tree in trees for _ in range(8))]
+    texts = [f"{a} {t} z" for a, t in zip("xy" * len(texts), texts, strict=False)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = licenses._scan_slice(part).to_pylist()
+    for text, row in zip(texts, found, strict=True):
+        every = known.detect(re.sub("[A-Z]", lambda m: m[0].lower(), text).encode(), known.by_keyword)
+        assert [tuple(d.values()) for d in row["detections"]] == every, text
+    assert all(row["detections"] for row in found[: len(WRAPPED)])
+
+
 # quality
 
 
