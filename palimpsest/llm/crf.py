@@ -11,8 +11,10 @@ text, and the pass inside the blocks starts from the chained states.
 
 A document's language is the label of the largest mean marginal over its words with letters.
 
-Training uses at most `TRAIN_ROWS` labelled documents of at most `TRAIN_CHARS` characters, whole, of smallest
-id hash; only they reach the driver.
+Training uses at most `TRAIN_ROWS` labelled documents (one a language if there are more languages), dealt to the
+languages in turn, of smallest id hash within each. Documents of at most `TRAIN_CHARS` characters come first, whole; a
+language that has too few of them adds the beginnings of longer ones. Ids are picked first; only the picked texts reach
+the driver.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the smaller label;
 without training rows every text is `und`; repeated rows are judged alike.
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.materialize import materialize
 from palimpsest.llm.words import Texts, Words, lowered, mixed, slices, texts_of, word_hashes, words_of
 
 TRAIN_ROWS = 400
@@ -189,11 +192,54 @@ def fit(texts: list[str], langs: list[str], rounds: int = 20, ridge: float = 1e-
 
 def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Field:
     """Fit on documents outside the held-out fold whose language is known."""
+    found = sample(docs, folds, held, rows, chars)
+    return fit([text for text, _ in found], [lang for _, lang in found])
+
+
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of every language: dealt in turn while it has more, at least one each."""
+    out, left = {}, rows
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
+def sample(docs: DataFrame, folds: int, held: int, rows: int, chars: int) -> list[tuple[str, str]]:
+    """Texts and languages of the training documents; rows of one id, language and length class count once."""
+    spark = docs.sparkSession
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    fine = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder != held) & F.length("text").between(1, chars)
-    chosen = docs.where(fine).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    found = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    return fit([r["text"] for r in found], [r["lang"] for r in found])
+    fine = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder != held) & (F.length("text") > 0)
+    known = docs.where(fine).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", (F.length("text") > chars).alias("long"), "text")
+    keys = materialize(known.select("doc_id", "lang", "long").distinct())
+    counts = {(r["lang"], r["long"]): r["count"] for r in keys.groupBy("lang", "long").count().collect()}
+    per_lang: dict[str, int] = {}
+    for (lang, _), n in counts.items():
+        per_lang[lang] = per_lang.get(lang, 0) + n
+    wanted, most = {}, []
+    for lang, n in shares(per_lang, rows).items():
+        short = min(n, counts.get((lang, False), 0))
+        for long, need in ((False, short), (True, n - short)):
+            if need:
+                wanted[lang, long] = need
+                # so many hashes lie below the bound that those needed are among them
+                part = (2 * need + 100) / counts[lang, long]
+                most.append((lang, long, (1 << 63) - 1 if part >= 1 else int(part * (1 << 64)) - (1 << 63)))
+    if not wanted:
+        return []
+    bounds = spark.createDataFrame(most, "lang string, long boolean, most long")
+    place = F.xxhash64("doc_id").alias("place")
+    near = keys.join(F.broadcast(bounds), ["lang", "long"]).select("doc_id", "lang", "long", "most", place).where("place <= most")
+    by_group: dict[tuple[str, bool], list[tuple[int, int]]] = {}
+    for r in near.collect():
+        by_group.setdefault((r["lang"], r["long"]), []).append((r["place"], r["doc_id"]))
+    picked = [(i, lang, long) for (lang, long), n in wanted.items() for _, i in sorted(by_group[lang, long])[:n]]
+    chosen = spark.createDataFrame(picked, "doc_id long, lang string, long boolean")
+    texts = known.join(F.broadcast(chosen), ["doc_id", "lang", "long"]).select("doc_id", "lang", "long", F.substring("text", 1, chars).alias("text"))
+    found = texts.groupBy("doc_id", "lang", "long").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "long").collect()
+    # the last word of a beginning may be cut
+    whole = lambda r: (r["text"].rsplit(maxsplit=1) or [""])[0] if r["long"] else r["text"]
+    return [(whole(r), r["lang"]) for r in found]
 
 
 def _label_slice(part: pa.RecordBatch, field: Field) -> pa.RecordBatch:

@@ -234,6 +234,20 @@ def test_language_on_the_held_out_fold(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, "the and of with that " * 3, "en") for i in range(3000)] + [(5000 + i, "der die und nicht ist " * 3, "de") for i in range(8)]
+    rows += [(6000 + i, "le la les une dans " * 40, "fr") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = crf.sample(docs, 4, 2, 20, 500)
+    sizes = Counter(lang for _, lang in found)
+    assert set(sizes) == {"en", "de", "fr"} and len(found) == 20 and min(sizes.values()) >= 4
+    assert all(0 < len(text) <= 500 and text.split()[-1] in "that ist le la les une dans".split() for text, _ in found)
+    assert crf.sample(docs.union(docs), 4, 2, 20, 500) == found
+    assert crf.train(docs, rows=20, chars=500).labels == ["de", "en", "fr"]
+    assert len(crf.sample(docs, 4, 2, 2, 500)) == 3 and crf.train(docs.limit(0)).labels == []
+    assert crf.shares({"a": 500, "b": 3, "c": 500}, 100) == {"b": 3, "a": 48, "c": 49}
+
+
 def test_language_of_switching_and_awkward_texts(spark):
     field = crf.fit(["the and of with that " * 30, "der die und nicht ist " * 30, "le la les une dans " * 30], ["en", "de", "fr"])
     docs = spark.createDataFrame(
