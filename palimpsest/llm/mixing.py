@@ -184,6 +184,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return Mix(closed.unionByName(filled), sources, blocks, filled, drawn)
 
 
+def dealt(made: Mix) -> DataFrame:
+    """The plan's rows with `shards`: the shard that every copy of a document is dealt to, in order of its copies."""
+    drawn = F.array_sort(F.collect_list(F.struct("copy", "shard")))
+    shards = made.blocks.groupBy("sid", "block").agg(drawn.alias("drawn"))
+    own = F.filter("drawn", lambda x: x["copy"] <= F.col("copies"))["shard"]
+    return made.rows.join(F.broadcast(shards), ["sid", "block"], "left").select(
+        *made.rows.columns, F.coalesce(own, F.array().cast("array<int>")).alias("shards")
+    )
+
+
 def mix(docs: DataFrame, shards: int = SHARDS, **choices) -> DataFrame:
     """The mixed rows themselves: the columns of `docs`, once per copy, in `shards` locally shuffled partitions.
 

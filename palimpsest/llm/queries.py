@@ -37,10 +37,10 @@ def op3_license_scan(spark, folder):
 
 @query("op6_mixing")
 def op6_mixing(spark, folder):
-    made = mixing.plan(table(spark, folder, "documents"))
-    return made.rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
-    )
+    dealt = mixing.dealt(mixing.plan(table(spark, folder, "documents")))
+    taken = (F.col("size") * F.size("shards")).alias("taken")
+    shards = F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards")
+    return dealt.select("doc_id", "size", "source_size", "target", taken, "source", "copies", shards)
 
 
 @query("op4_pairwise_quality")

@@ -169,6 +169,22 @@ def test_splitting_tree_keeps_quotas():
     assert list(mixing.targets(np.array([10, 10, 0]), np.array([5.0, 2.0, 1.0]), 1.5, 2.0)) == [20.0, 10.0, 0.0]
 
 
+def test_taken_words_are_those_dealt_to_shards(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = queries.op6_mixing(spark, folder).collect()
+    for r in rows:
+        shards = [int(s) for s in r["shards"].split(",") if s]
+        assert len(shards) == r["copies"] and r["taken"] == len(shards) * r["size"] and all(0 <= s < mixing.SHARDS for s in shards)
+    made = mixing.plan(spark.read.parquet(f"{folder}/documents.parquet"))
+    drawn = {(b["sid"], b["block"], b["copy"]): b["shard"] for b in made.blocks.collect()}
+    place = {r["doc_id"]: (r["sid"], r["block"]) for r in made.rows.collect()}
+    for r in rows:
+        assert r["shards"] == ",".join(str(drawn[*place[r["doc_id"]], k + 1]) for k in range(r["copies"]))
+    none = made.blocks.where("copy = 0")
+    lost = mixing.dealt(mixing.Mix(made.rows, made.sources, made.counts, made.filled, none))
+    assert lost.count() == len(rows) and lost.where("size(shards) > 0").count() == 0  # without dealt blocks nothing is taken
+
+
 def test_mixed_rows_follow_the_plan(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("sid", F.lit("own")).withColumn("size", F.lit(0))
     wanted = {r["doc_id"]: r["copies"] for r in mixing.plan(docs).rows.collect()}
