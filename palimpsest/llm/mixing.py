@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-1. Every source is cut into blocks of about equal size: a document's block is a hash of its id, so block
+1. Every source is cut into blocks of about equal size, by its words or its rows, whichever makes more: a document's block is a hash of its id, so block
    order is a random permutation of the source that every rerun and every executor agrees on.
 2. A source's target (in words) becomes a quota of whole blocks: full passes, then the first blocks of
    one more pass. The block in which the target falls is filled document by document.
@@ -9,7 +9,7 @@
    right child keeps the rest. Quotas of the leaves add up exactly.
 4. The shards draw disjoint runs of every source's permuted blocks, and each shard is shuffled on its own.
 
-Block and source tables are plans, not data: at most `BLOCKS_PER_SHARD * shards` blocks plus one per
+Block and source tables are plans, not data: at most `2 * BLOCKS_PER_SHARD * shards` blocks plus one per
 source, and one row per source. They go through the driver; documents and their ids do not.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own, last;
@@ -34,6 +34,8 @@ SHARDS = 64
 BLOCKS_PER_SHARD = 16
 #: Words of a block at least: the block that is filled document by document needs some to choose from.
 LEAST_BLOCK = 65_536
+#: Rows with words of a block at least, where texts are so short that rows and not words make the blocks.
+LEAST_ROWS = 4_096
 SEED = 20240917
 #: Rows of the source table that may go through the driver.
 MOST_SOURCES = 1_000_000
@@ -88,7 +90,7 @@ class Mix:
     """The plan of a mix.
 
     `rows` has one row a document; `sources` one a source; `counts` one a block (copies, and words left to fill
-    if it is open); `filled` the documents of open blocks; `blocks` one row a drawn block and its shard.
+    if it is open); `filled` the documents of open blocks that have words; `blocks` one row a drawn block and its shard.
     """
 
     rows: DataFrame
@@ -140,14 +142,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     spark = docs.sparkSession
     sized = materialize(sizes(docs))
-    found = sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
+    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError("too many sources for a plan on the driver: group them first")
     found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     words = np.array([r["words"] for r in found], dtype=np.int64)
     wanted = targets(words, np.resize(np.array(weights, float), len(words)), share, cap) if len(found) else np.zeros(0)
     per_block = max(LEAST_BLOCK, int(words.sum()) // (shards * BLOCKS_PER_SHARD))
-    n_blocks = np.maximum(1, words // per_block)
+    counted = np.array([r["rows"] for r in found], dtype=np.int64)
+    per_rows = max(LEAST_ROWS, int(counted.sum()) // (shards * BLOCKS_PER_SHARD))
+    n_blocks = np.maximum(1, np.maximum(words // per_block, counted // per_rows))
     sources = spark.createDataFrame(
         [(r["source"], i, int(n_blocks[i]), int(words[i]), float(wanted[i])) for i, r in enumerate(found)],
         "name string, sid int, n_blocks int, source_size long, target double",
@@ -176,9 +180,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     blocks = spark.createDataFrame(rows, "sid int, block int, copies int, left long")
     placed = placed.join(F.broadcast(blocks), ["sid", "block"])
-    closed = placed.where("left = 0").select("doc_id", "source", "size", "source_size", "target", "copies", "sid", "block")
-    opened = placed.where("left > 0").withColumn("turn", F.xxhash64(F.lit(SEED + 1), F.col("doc_id")))
-    # an open group is one block of one source: the words of a block bound it
+    # a row without words needs no filling: its copies are those of its block
+    closed = placed.where("left = 0 or size = 0").select("doc_id", "source", "size", "source_size", "target", "copies", "sid", "block")
+    opened = placed.where("left > 0 and size > 0").withColumn("turn", F.xxhash64(F.lit(SEED + 1), F.col("doc_id")))
+    # an open group is one block of one source: about the rows and words of a block bound it
     filled = materialize(opened.groupBy("sid").applyInPandas(_fill, closed.schema))
     drawn = spark.createDataFrame(drawn, "sid int, block int, copy int, shard int")
     return Mix(closed.unionByName(filled), sources, blocks, filled, drawn)
@@ -209,7 +214,8 @@ def mix(docs: DataFrame, shards: int = SHARDS, **choices) -> DataFrame:
     counts = own(made.counts).withColumnsRenamed({"~sid": "~s", "~block": "~b"})
     known = placed.join(F.broadcast(counts), at_block).drop("~s", "~b")
     filled = own(made.filled.groupBy("doc_id").agg(F.max("copies").alias("filled")))
-    opened = known.where("`~left` > 0").join(filled, key.eqNullSafe(F.col("~doc_id"))).withColumn("~copies", F.col("~filled"))
+    opened = known.where("`~left` > 0").join(filled, key.eqNullSafe(F.col("~doc_id")), "left")
+    opened = opened.withColumn("~copies", F.coalesce("~filled", "~copies"))  # rows without words are not in it
     known = known.where("`~left` = 0").unionByName(opened.drop("~doc_id", "~filled")).where("`~copies` > 0")
     each = known.withColumn("~turn", F.explode(F.sequence(F.lit(1), F.col("~copies"))))
     drawn = own(made.blocks).withColumnsRenamed({"~sid": "~s", "~block": "~b"})

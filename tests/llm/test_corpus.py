@@ -185,6 +185,25 @@ def test_taken_words_are_those_dealt_to_shards(spark):
     assert lost.count() == len(rows) and lost.where("size(shards) > 0").count() == 0  # without dealt blocks nothing is taken
 
 
+def test_open_blocks_hold_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_ROWS", 50)
+    rows = [(i, "word", "a") for i in range(1000)] + [(2000 + i, None if i % 2 else " ", "a") for i in range(1000)]
+    rows += [(5000 + i, "some more words " * 20, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    choices = {"weights": (7, 2), "share": 1.43}
+    made = mixing.plan(docs, **choices)
+    filled = made.filled.collect()
+    assert filled and all(r["size"] > 0 for r in filled) and sum(r["source"] == "a" for r in filled) <= 100
+    wanted = {r["doc_id"]: r["copies"] for r in made.rows.collect()}
+    assert len(wanted) == len(rows)
+    for source in made.sources.collect():
+        got = sum(r["size"] * r["copies"] for r in made.rows.where(F.col("source") == source["name"]).collect())
+        assert abs(got - source["target"]) <= 60
+    got = {r["doc_id"]: r["count"] for r in mixing.mix(docs, **choices).groupBy("doc_id").count().collect()}
+    assert got == {i: c for i, c in wanted.items() if c} and any(i in got for i in range(2000, 3000))
+    assert all(r["copies"] == len(r["shards"]) for r in mixing.dealt(made).collect())
+
+
 def test_mixed_rows_follow_the_plan(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("sid", F.lit("own")).withColumn("size", F.lit(0))
     wanted = {r["doc_id"]: r["copies"] for r in mixing.plan(docs).rows.collect()}
