@@ -85,9 +85,38 @@ class Field:
 
 def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Chance of every language at every word, by forward-backward over all texts at once."""
+    return messages(scores, first, moves, False)[0]
+
+
+def slope_of_moves(gold: np.ndarray, ahead: np.ndarray, behind: np.ndarray, weight: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Gradient of the log likelihood in the transitions: moves of the gold languages less the expected ones.
+
+    A text begins with a move from any language, as `messages` takes it.
+    """
+    k = len(moves)
+    step = np.exp(moves - moves.max())
+    inner = np.ones(len(gold), dtype=bool)
+    inner[first[:-1]] = False
+    at = np.flatnonzero(inner)
+    joint = ahead[at - 1, :, None] * step[None] * (weight[at] * behind[at])[:, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    begin = first[:-1]
+    chance = ahead[begin] * behind[begin]
+    chance /= chance.sum(axis=1, keepdims=True)
+    pairs = np.bincount(gold[at - 1] * k + gold[at], minlength=k * k).reshape(k, k)
+    return pairs - joint.sum(axis=0) + step / step.sum(axis=0) * (np.eye(k)[gold[begin]] - chance).sum(axis=0)
+
+
+def messages(
+    scores: np.ndarray, first: np.ndarray, moves: np.ndarray, apart: bool = True
+) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Forward and backward messages (each up to a factor a word) and weights of all words.
+
+    If they need not be apart, their product (the chances) takes the place of the first, and None that of the second.
+    """
     n, k = scores.shape
     if not n:
-        return scores
+        return scores, scores if apart else None, scores
     weight = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-30
     step = np.exp(moves - moves.max())
     counts = np.diff(first)
@@ -120,6 +149,7 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nd
         behind[back] = state / state.sum(axis=1, keepdims=True)
     # inside the blocks
     out = np.empty_like(weight)
+    back = np.empty_like(weight) if apart else None
     state = ahead
     for t in range(BLOCK):
         m = open_at[t]
@@ -132,10 +162,13 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nd
     for t in range(BLOCK - 1, -1, -1):
         m = open_at[t]
         if m:
-            out[begin[:m] + t] *= state[:m]
+            if back is None:
+                out[begin[:m] + t] *= state[:m]
+            else:
+                back[begin[:m] + t] = state[:m]
             state[:m] = (weight[begin[:m] + t] * state[:m]) @ step.T
             state[:m] /= state[:m].sum(axis=1, keepdims=True)
-    return out / out.sum(axis=1, keepdims=True)
+    return (out if apart else out / out.sum(axis=1, keepdims=True)), back, weight
 
 
 def fit(texts: list[str], langs: list[str], rounds: int = 20, ridge: float = 1e-6) -> Field:
@@ -170,19 +203,15 @@ def fit(texts: list[str], langs: list[str], rounds: int = 20, ridge: float = 1e-
     spent_w, spent_m = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
     bounds = np.arange(0, whole + 1, width)
     gold_at = np.eye(k)[gold]
-    inner = np.arange(whole) % width != 0
-    pairs = np.bincount(gold[:-1][inner[1:]] * k + gold[1:][inner[1:]], minlength=k * k).reshape(k, k)
     for _ in range(rounds):
         scores = np.add.reduceat(weights[rows], begin, axis=0)[word]
-        chance = marginals(scores, bounds, moves)
+        ahead, behind, weight = messages(scores, bounds, moves)
+        chance = ahead * behind
+        chance /= chance.sum(axis=1, keepdims=True)
         miss = gold_at - chance
         by_word = np.column_stack([np.bincount(word, miss[:, j], minlength=len(seen)) for j in range(k)])
         slope = np.column_stack([np.bincount(rows, by_word[owner, j], minlength=len(weights)) for j in range(k)]) - ridge * whole * weights
-        # expected moves: neighbours' joint chances from their marginals and the learned step
-        joint = chance[:-1, :, None] * np.exp(moves)[None] * np.exp(scores[1:] - scores[1:].max(axis=1, keepdims=True))[:, None, :]
-        joint = joint[inner[1:]]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        slope_m = pairs - joint.sum(axis=0)
+        slope_m = slope_of_moves(gold, ahead, behind, weight, bounds, moves)
         spent_w += (slope / whole) ** 2 * 1e6
         spent_m += (slope_m / whole) ** 2 * 1e2
         weights += 0.6 * (slope / whole) * 1e3 / np.sqrt(spent_w)

@@ -226,6 +226,32 @@ def test_marginals_equal_the_plain_recursion():
             assert np.allclose(both / both.sum(axis=1, keepdims=True), got[a:b])
 
 
+def test_slope_of_moves_is_that_of_the_likelihood():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    scores, moves = 2 * rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+    first, gold = np.array([0, 5, 9]), rng.integers(0, 3, 9)
+    ahead, behind, weight = crf.messages(scores, first, moves)
+    both = ahead * behind
+    assert np.allclose(both / both.sum(axis=1, keepdims=True), crf.marginals(scores, first, moves))
+
+    def likelihood(moves):
+        def path(a, x):
+            inner = sum(scores[a + t, y] for t, y in enumerate(x)) + sum(moves[y, z] for y, z in zip(x, x[1:], strict=False))
+            return inner + np.log(np.exp(moves[:, x[0]]).sum())
+
+        spans = list(zip(first, first[1:], strict=False))
+        return sum(path(a, gold[a:b]) - np.log(sum(np.exp(path(a, x)) for x in product(range(3), repeat=b - a))) for a, b in spans)
+
+    got = crf.slope_of_moves(gold, ahead, behind, weight, first, moves)
+    for i, j in product(range(3), repeat=2):
+        up, down = moves.copy(), moves.copy()
+        up[i, j] += 1e-5
+        down[i, j] -= 1e-5
+        assert got[i, j] == pytest.approx((likelihood(up) - likelihood(down)) / 2e-5, abs=1e-5)
+
+
 def test_language_on_the_held_out_fold(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = queries.op8_crf_language(spark, FOLDER).join(docs.select("doc_id", "lang"), "doc_id").collect()
