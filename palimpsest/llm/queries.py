@@ -8,8 +8,8 @@ import os
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
-from palimpsest.llm import automata, bayes_dedup, bpe, crf, density, fertility, licenses, mixing, mtree, ranking
-from palimpsest.llm.oracles import OP5
+from palimpsest.llm import automata, bayes_dedup, bpe, crf, density, divergence, fertility, golay, licenses, merkle, mixing, mtree, ranking
+from palimpsest.llm.oracles import OP5, OP11, OP13
 from palimpsest.plans.registry import Registry
 from palimpsest.sources.tables import table
 
@@ -86,3 +86,19 @@ def op8_crf_language(spark, folder):
 @query("op9_text_density")
 def op9_text_density(spark, folder):
     return density.extract(table(spark, folder, "pages"))
+
+
+@query("op11_merkle_manifest", OP11)
+def op11_merkle_manifest(spark, folder):
+    leaves = merkle.documents(table(spark, folder, "documents"))
+    return merkle.audit(merkle.manifest(leaves, "lang", ["doc_id"], "leaf"))
+
+
+@query("op12_golay_simhash")
+def op12_golay_simhash(spark, folder):
+    return golay.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op13_source_divergence", OP13)
+def op13_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
