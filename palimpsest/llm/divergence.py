@@ -344,28 +344,31 @@ def _ranked(rows: DataFrame, tie: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def _compared(rows: pa.Table) -> pa.Table:
-    """Sums of |p - q| of the sources of two blocks over the terms of one; rows of ordinal -1 are the sources' base shares."""
-    at, ordinal, p = (rows[c].to_numpy() for c in ("at", "ordinal", "p"))
-    base = ordinal < 0
-    order = np.argsort(at[base])
-    sources, shares = at[base][order], p[base][order]
-    first = int(rows["term_block"][0].as_py()) * TERM_BLOCK
-    width = max(0, min(TERM_BLOCK, int(rows["v"][0].as_py()) - first))
-    table = np.repeat(shares[:, None], width, axis=1)
-    table[np.searchsorted(sources, at[~base]), ordinal[~base] - first] = p[~base]
-    a, b = (int(rows[c][0].as_py()) for c in ("a", "b"))
-    block = sources // SOURCE_BLOCK
-    left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-    one, other, value = [], [], []
-    for i in left:
-        js = right[right > i]
-        one.append(np.full(len(js), sources[i]))
-        other.append(sources[js])
-        value.append(np.abs(table[js] - table[i]).sum(axis=1))
-    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, other, value)]
-    n = len(flat[0])
-    return pa.table({"lang": pa.repeat(rows["lang"][0], n), "one": flat[0], "other": flat[1], "value": flat[2]})
+def _compared(source_block: int, term_block: int):
+    def compare(rows: pa.Table) -> pa.Table:
+        """Sums of |p - q| of the sources of two blocks over the terms of one; rows of ordinal -1 are the sources' base shares."""
+        at, ordinal, p = (rows[c].to_numpy() for c in ("at", "ordinal", "p"))
+        base = ordinal < 0
+        order = np.argsort(at[base])
+        sources, shares = at[base][order], p[base][order]
+        first = int(rows["term_block"][0].as_py()) * term_block
+        width = max(0, min(term_block, int(rows["v"][0].as_py()) - first))
+        table = np.repeat(shares[:, None], width, axis=1)
+        table[np.searchsorted(sources, at[~base]), ordinal[~base] - first] = p[~base]
+        a, b = (int(rows[c][0].as_py()) for c in ("a", "b"))
+        block = sources // source_block
+        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        one, other, value = [], [], []
+        for i in left:
+            js = right[right > i]
+            one.append(np.full(len(js), sources[i]))
+            other.append(sources[js])
+            value.append(np.abs(table[js] - table[i]).sum(axis=1))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, other, value)]
+        n = len(flat[0])
+        return pa.table({"lang": pa.repeat(rows["lang"][0], n), "one": flat[0], "other": flat[1], "value": flat[2]})
+
+    return compare
 
 
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
@@ -381,7 +384,7 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     rows = base.unionByName(own).join(sizes, "lang").withColumn("own", F.floor(F.col("at") / SOURCE_BLOCK))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
     rows = rows.select("lang", "at", "ordinal", "p", "v", "term_block", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"))
-    sums = rows.groupBy("lang", "term_block", "a", "b").applyInArrow(_compared, "lang string, one long, other long, value long")
+    sums = rows.groupBy("lang", "term_block", "a", "b").applyInArrow(_compared(SOURCE_BLOCK, TERM_BLOCK), "lang string, one long, other long, value long")
     sums = materialize(sums.groupBy("lang", "one", "other").agg(F.sum("value").alias("value")))
     both = sums.unionByName(sums.select("lang", F.col("other").alias("one"), F.col("one").alias("other"), "value"))
     names = groups.select("lang", "at", "source")

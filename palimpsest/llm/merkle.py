@@ -111,18 +111,18 @@ class Appender:
         self._place(parent, level + 1)
 
 
-def _levels(nodes: int) -> int:
-    """Levels that a block of a tree with so many nodes has: up to one node, at most `LEVELS`."""
+def _levels(nodes: int, most: int) -> int:
+    """Levels that a block of a tree with so many nodes has: up to one node, at most `most`."""
     levels = 0
-    while nodes > 1 and levels < LEVELS:
+    while nodes > 1 and levels < most:
         nodes, levels = -(-nodes // WIDTH), levels + 1
     return levels
 
 
-def _appended(rows: pa.Table) -> tuple[list[Node], Node]:
+def _appended(rows: pa.Table, most: int) -> tuple[list[Node], Node]:
     """The nodes of one block in order of the rows, and its root."""
     places = rows["~place"].to_numpy()
-    tree = Appender(_levels(rows["~nodes"][0].as_py()))
+    tree = Appender(_levels(rows["~nodes"][0].as_py(), most))
     values = rows["~digest"].to_pylist()
     nodes = [None] * len(values)
     for i in places.argsort(kind="stable").tolist():
@@ -130,22 +130,25 @@ def _appended(rows: pa.Table) -> tuple[list[Node], Node]:
     return nodes, tree.close()
 
 
-def _block_root(rows: pa.Table) -> pa.Table:
-    _, root = _appended(rows)
-    size = WIDTH**LEVELS
-    return pa.table(
-        {
-            "~group": rows["~group"][:1],
-            "~place": rows["~block"][:1],
-            "~nodes": pa.array([-(-rows["~nodes"][0].as_py() // size)], pa.int64()),
-            "~digest": pa.array([root.digest]),
-        }
-    )
+def _block_root(most: int):
+    def build(rows: pa.Table) -> pa.Table:
+        _, root = _appended(rows, most)
+        left = -(-rows["~nodes"][0].as_py() // WIDTH**most)
+        return pa.table(
+            {
+                "~group": rows["~group"][:1],
+                "~place": rows["~block"][:1],
+                "~nodes": pa.array([left], pa.int64()),
+                "~digest": pa.array([root.digest]),
+            }
+        )
+
+    return build
 
 
-def _extended(kept: Sequence[str]):
+def _extended(kept: Sequence[str], most: int):
     def extend(rows: pa.Table, above: pa.Table) -> pa.Table:
-        nodes, _ = _appended(rows)
+        nodes, _ = _appended(rows, most)
         outer = [(p["left"], p["right"]) for p in above["~witness"][0].as_py()]
         parts = [[*node.witness(), *outer] for node in nodes]
         ends = [0]
@@ -171,7 +174,7 @@ def _rounds(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         rounds.append(current)
         made = materialize(
             current.select("~group", "~block", "~place", "~nodes", "~digest").groupBy("~group", "~block").applyInArrow(
-                _block_root, "`~group` string, `~place` long, `~nodes` long, `~digest` string"
+                _block_root(LEVELS), "`~group` string, `~place` long, `~nodes` long, `~digest` string"
             )
         )
         done = made.where("`~nodes` = 1").select("~group", "~digest", F.lit(len(rounds) - 1).alias("~round"))
@@ -190,7 +193,7 @@ def _handed_down(rounds: list[DataFrame], above: DataFrame, kept: Sequence[str])
         columns = ["~group", "~place"] if k else list(kept)
         schema = rounds[k].select(*columns).schema.add("~witness", WITNESS).add("~subroot", "string")
         rows = rounds[k].select(*dict.fromkeys([*columns, "~group", "~place", "~nodes", "~digest", "~block"]))
-        outer = rows.groupBy("~group", "~block").cogroup(outer.groupBy("~group", "~block")).applyInArrow(_extended(columns), schema)
+        outer = rows.groupBy("~group", "~block").cogroup(outer.groupBy("~group", "~block")).applyInArrow(_extended(columns, LEVELS), schema)
     return outer
 
 
@@ -211,11 +214,14 @@ def manifest(leaves: DataFrame, group: str, order: Sequence[str], value: str) ->
     tops, root = grow(subroots, "~all", ["~of"], "~subroot")
     root = root.select("~digest").first()
     no_witness = F.array().cast(WITNESS)
+    if root is None:
+        none = F.lit(None).cast("string")
+        return leaves.limit(0).select("*", none.alias("subroot"), none.alias("root"), no_witness.alias("witness"))
     only = root_row(leaves, len(tops), no_witness)
     above = _handed_down(tops, only, ["~of", "~depth", "~digest"])
     above = materialize(above.select(F.col("~of").alias("~group"), F.col("~depth").alias("~round"), "~witness", F.col("~digest").alias("~subroot")))
     rows = _handed_down(rounds, above, leaves.columns)
-    return rows.select(*leaves.columns, F.col("~subroot").alias("subroot"), F.lit(root[0] if root else None).alias("root"), F.col("~witness").alias("witness"))
+    return rows.select(*leaves.columns, F.col("~subroot").alias("subroot"), F.lit(root[0]).alias("root"), F.col("~witness").alias("witness"))
 
 
 def root_row(frame: DataFrame, rounds: int, no_witness: Column) -> DataFrame:
