@@ -45,7 +45,7 @@ def progress_stream(spark: SparkSession, folder: str) -> DataFrame:
 @query("rate_limit_stream", queries_accounts.ORACLES["rate_limit_replay"])
 def rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
     attempts = _stream_recipe(spark, folder, "attempts")
-    return jobs.run_to_table(jobs.rate_limit_stream(attempts, LIMIT), "append").drop("batch_id")
+    return jobs.rate_limit_to_table(attempts, LIMIT).drop("batch_id")
 
 
 @query(

@@ -1,22 +1,27 @@
-"""Structured Streaming jobs. Each equals its batch twin on the same, in-order rows.
+"""Structured Streaming jobs. Each equals its batch twin on the same rows.
 
-Sinks write parquet tables by batch id, so a batch that runs again replaces its own output.
+Jobs take a `root` folder: started again with the same one, they go on behind their last complete batch (`sink.py`).
+Keyed state is kept row by row in the state store (`keyed.py`).
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from palimpsest.functions.materialize import shared_folder
-from palimpsest.operators import rate_limit as RL
+from palimpsest.streaming import keyed
+from palimpsest.streaming.sink import BatchSink, new_root, run_to_table
+
+#: Event time of a closing row: all that waits for the watermark is due.
+END_MS = 32_503_680_000_000
+
+__all__ = [
+    "BatchSink", "run_to_table", "table_stream", "progress_stream", "latest_update", "dedupe_to_table", "rate_limit_to_table",
+    "reuse_stream", "reputation_stream", "reconcile_stream",
+]
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, *, files: int = 100) -> DataFrame:
@@ -32,40 +37,6 @@ def table_stream(spark: SparkSession, folder: str, name: str, *, files: int = 10
     return source.parquet(path)
 
 
-def run_to_table(
-    stream: DataFrame, mode: str, write: Callable[[DataFrame, int, str], None] | None = None,
-    schema: StructType | None = None,
-) -> DataFrame:
-    """Run until the available input is used up; returns the table written, with `batch_id`.
-
-    Without any input the result is empty, with the stream's columns (with `write`: those of `schema`).
-    """
-    spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    out = f"{root}/out"
-
-    batches = []
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batches.append(batch_id)
-        if write is None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        else:
-            write(batch, batch_id, out)
-
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(save)
-        .start()
-    )
-    query.awaitTermination()
-    if not batches:
-        return spark.createDataFrame([], schema or stream.schema).withColumn("batch_id", F.lit(0))
-    return spark.read.parquet(out)
-
-
 def progress_stream(events: DataFrame) -> DataFrame:
     """Latest state per run, kept up to date: `run_id, event_id, status, stage`."""
     return events.groupBy("run_id").agg(
@@ -85,186 +56,100 @@ def latest_update(updates: DataFrame, key: str) -> DataFrame:
     )
 
 
-def dedupe_to_table(events: DataFrame, key: str, ms: str, keep_ms: int = 30 * 86_400_000) -> tuple[DataFrame, DataFrame]:
-    """Each key once, and the rows that came too late to tell.
+def _watched(stream: DataFrame, ms: str, delay_ms: int) -> DataFrame:
+    """A stream whose rows move the watermark but are not dropped behind it: the job decides on late rows.
 
-    events: a stream with `key` and event time `ms`. Keys are remembered for `keep_ms` of event time behind the
-    newest row of earlier batches. Rows older than that go to the second table, with all their columns: they
-    are neither dropped nor mixed with rows known to be new.
+    The time column is no column of the rows any more, so the state operator has nothing to compare.
     """
-    spark = events.sparkSession
-    late_path = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
-    written: set[int] = set()
-
-    def write(batch: DataFrame, batch_id: int, out: str) -> None:
-        earlier = [f"{out}/batch_id={b}" for b in sorted(written - {batch_id})]
-        fresh, late = batch, batch.limit(0)
-        if earlier:
-            done = spark.read.schema(batch.schema).parquet(*earlier)
-            newest = done.agg(F.max(ms)).first()[0]
-            if newest is not None:
-                known = done.where(F.col(ms) >= newest - keep_ms).select(key)
-                late = batch.where(F.col(ms) < newest - keep_ms)
-                fresh = batch.where(F.col(ms).isNull() | (F.col(ms) >= newest - keep_ms)).join(known, key, "left_anti")
-        fresh.dropDuplicates([key]).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
-        written.add(batch_id)
-
-    unique = run_to_table(events, "append", write)
-    late = spark.read.parquet(late_path) if written else unique.limit(0)
-    return unique, late
-
-
-def _ordered(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    parts = list(frames)
-    rows = pd.concat(parts) if parts else pd.DataFrame(columns=columns)
-    return rows.sort_values(columns, kind="stable")
-
-
-def _rate_limit_step(limit: int):
-    def step(key, frames, state: GroupState):
-        started, used, cooldown = state.get if state.exists else (None, 0, 0)
-        out = []
-        for row in _ordered(frames, ["ts_ms", "event_id"]).itertuples(index=False):
-            now = int(row.ts_ms)
-            outcome, wait = "allowed", 0
-            if started is None or now - started >= RL.WINDOW_MS:
-                started, used, cooldown = now, 1, 0
-            elif now < cooldown:
-                outcome, wait = "in_cooldown", max(1, -((now - cooldown) // 1000))
-            else:
-                used += 1
-                if used > limit:
-                    pause = RL.cooldown_ms(used - limit)
-                    outcome, wait, cooldown = "cooldown_started", pause // 1000, now + pause
-                else:
-                    cooldown = 0
-            out.append((*key, int(row.event_id), now, outcome, wait))
-        state.update((started, used, cooldown))
-        yield pd.DataFrame(
-            out,
-            columns=["bucket_key", "purpose", "event_id", "ts_ms", "outcome", "retry_after_s"],
-        )
+    timed = stream.withColumn("_event_time", F.timestamp_millis(F.greatest(F.col(ms), F.lit(0))))
+    return timed.withWatermark("_event_time", f"{delay_ms} milliseconds").drop("_event_time")
 
-    return step
 
+def _with(frame: DataFrame, more: str) -> StructType:
+    """The columns of a frame and some more."""
+    return StructType([*frame.schema.fields, *StructType.fromDDL(more).fields])
 
-def rate_limit_stream(attempts: DataFrame, limit: int) -> DataFrame:
-    """The rate limit as keyed state: window start, count, cooldown."""
-    return attempts.groupBy("bucket_key", "purpose").applyInPandasWithState(
-        _rate_limit_step(limit),
-        "bucket_key long, purpose string, event_id long, ts_ms long, outcome string, "
-        "retry_after_s long",
-        "started long, used long, cooldown long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
 
+def dedupe_to_table(events: DataFrame, key: str, ms: str, keep_ms: int = 30 * 86_400_000, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each key once, and the rows that came too late to tell.
 
-def _reuse_step(key, frames, state: GroupState):
-    """State: the earliest reuse reported for the family; an earlier one that arrives later corrects it."""
-    rows = _ordered(frames, ["used_at", "session_id"])
-    reused = rows[(rows["replaced_at"].notna()) & (rows["used_at"] >= rows["replaced_at"])]
-    if len(reused):
-        first = int(reused["used_at"].iloc[0])
-        if not state.exists or first < state.get[0]:
-            state.update((first,))
-            yield pd.DataFrame({"family_id": [int(key[0])], "reused_at": [first]})
+    events: a stream with `key` and event time `ms` (as long). Keys are remembered while they lie less than `keep_ms`
+    behind the newest row of earlier batches. Older rows go to the second table, with all their columns, and the
+    manifest counts them: they are neither dropped nor mixed with rows known to be new.
+    """
+    marked = _watched(events, ms, keep_ms).groupBy(key).transformWithState(
+        keyed.Once(ms, keep_ms), _with(events, "outcome string"), "append", "EventTime"
+    )
+    rows = run_to_table(marked, "append", root=root)
+    return rows.where("outcome = 'unique'").drop("outcome"), rows.where("outcome = 'late'").drop("outcome")
 
 
-def reuse_stream(uses: DataFrame) -> DataFrame:
-    """The first use of an already replaced token per family; the smallest row of a family is the final one.
+def rate_limit_to_table(attempts: DataFrame, limit: int, *, delay_ms: int = 0, root: str | None = None, close: bool = True) -> DataFrame:
+    """The rate limit as keyed state: outcome of every attempt whose time the watermark has passed, and late attempts.
 
-    uses: `family_id, session_id, used_at, replaced_at`, in any order of arrival.
+    attempts: `bucket_key, purpose, event_id, ts_ms`, at most `delay_ms` of event time behind the newest of earlier
+    batches; others are `late`. `close` ends the stream: it is started once more with a closing row, behind which
+    nothing waits. A stream that is to go on is not closed; its newest attempts then wait for the next run.
     """
-    return uses.groupBy("family_id").applyInPandasWithState(
-        _reuse_step, "family_id long, reused_at long", "reused_at long", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    spark = attempts.sparkSession
+    root = root or new_root(spark)
+    columns = ["bucket_key", "purpose", "event_id", "ts_ms"]
+    attempts = attempts.select(*columns)
+    ends = f"{root}/ends"
+    spark.createDataFrame([], attempts.schema).write.mode("append").parquet(ends)
+    every = attempts.unionByName(spark.readStream.schema(attempts.schema).parquet(ends))
+
+    def run() -> DataFrame:
+        outcomes = _watched(every, "ts_ms", delay_ms).groupBy("bucket_key", "purpose").transformWithState(
+            keyed.Bucket(limit), _with(attempts, "outcome string, retry_after_s long"), "append", "EventTime"
+        )
+        return run_to_table(outcomes, "append", root=root)
 
+    table = run()
+    if not close:
+        return table
+    end = spark.range(1).select(*[F.lit(END_MS if c == "ts_ms" else None).cast(attempts.schema[c].dataType).alias(c) for c in columns])
+    end.write.mode("append").parquet(ends)
+    return run()
 
-_REPUTATION = [
-    "phone", "generation", "sequence", "ban_count", "status", "blocked_at", "last_ban_at",
-    "outcome",
-]
 
+def reuse_stream(uses: DataFrame) -> DataFrame:
+    """The first use of an already replaced token per family; the smallest row of a family is the final one.
 
-def _reputation_step(key, frames, state: GroupState):
-    """Applies events in sequence; early ones wait in the state until the gap before them closes."""
-    expected, count, status, blocked, last_ban, waiting = (
-        state.get if state.exists else (1, 0, "normal", None, None, "[]")
-    )
-    early = {int(r[0]): tuple(r[1:]) for r in json.loads(waiting)}
-    strays = []
-    for row in _ordered(frames, ["sequence"]).itertuples(index=False):
-        sequence = int(row.sequence)
-        event = (row.event_type, row.to_status if isinstance(row.to_status, str) else None, int(row.created_at))
-        if sequence < expected or early.get(sequence, event) != event:
-            strays.append((*key, sequence, None, None, None, None, "quarantined"))
-        else:
-            early[sequence] = event
-    while expected in early:
-        kind, to_status, created = early.pop(expected)
-        expected += 1
-        if kind == "qualifying_ban_applied":
-            count, last_ban = count + 1, created
-        elif kind == "qualifying_ban_overturned":
-            count -= 1
-        elif kind in ("phone_blocked", "phone_unblocked"):
-            status = to_status
-            blocked = created if status == "blocked" else None
-    state.update((expected, count, status, blocked, last_ban, json.dumps([[s, *e] for s, e in sorted(early.items())])))
-    held = [(*key, s, None, None, None, None, "held") for s in sorted(early)]
-    rows = [(*key, expected - 1, count, status, blocked, last_ban, "projected"), *held, *strays]
-    out = pd.DataFrame(rows, columns=_REPUTATION)
-    for column in ("ban_count", "blocked_at", "last_ban_at"):
-        out[column] = out[column].astype("Int64")
-    yield out
+    uses: `family_id, session_id, used_at, replaced_at`, in any order of arrival.
+    """
+    return uses.groupBy("family_id").transformWithState(keyed.FirstReuse(), "family_id long, reused_at long", "append", "None")
 
 
 def reputation_stream(log: DataFrame) -> DataFrame:
     """Projection per (phone, generation) after each micro-batch.
 
-    Events ahead of a gap are `held` and applied when it closes; repeated or contradicting ones are `quarantined`.
+    Events ahead of a gap are `held` (told once) and applied when it closes; repeated or contradicting ones are `quarantined`.
     """
-    return log.groupBy("phone", "generation").applyInPandasWithState(
-        _reputation_step,
-        "phone long, generation long, sequence long, ban_count long, status string, "
-        "blocked_at long, last_ban_at long, outcome string",
-        "expected long, count long, status string, blocked long, last_ban long, waiting string",
-        "update",
-        GroupStateTimeout.NoTimeout,
+    schema = (
+        "phone long, generation long, sequence long, ban_count long, status string, blocked_at long, last_ban_at long, outcome string"
     )
+    return log.groupBy("phone", "generation").transformWithState(keyed.Projection(), schema, "update", "None")
 
 
 def reconcile_stream(
-    documents: DataFrame, variants: Callable[[DataFrame], DataFrame], content_id: Column
+    documents: DataFrame, variants: Callable[[DataFrame], DataFrame], content_id: Column, root: str | None = None
 ) -> DataFrame:
     """Reconcile arriving transcript sets, each content once, whatever batch brings it.
 
-    Within a batch repeated contents fold into one; sets are merged under their content, not their `doc_id`,
-    which two contents may share. The ids of earlier batches are a narrow table of their own.
+    The ids of contents seen are state of the stream, so a batch costs what it brings. Sets are merged under their
+    content, not their `doc_id`, which two contents may share.
     """
     from palimpsest.operators.reconcile import reconcile
 
-    seen = f"{shared_folder(documents.sparkSession)}/seen-{uuid.uuid4().hex}"
     names = ["preview", "conflicts", "singletons", "agreements"]
-    written: set[int] = set()
-
-    def write(batch: DataFrame, batch_id: int, out: str) -> None:
-        spark = batch.sparkSession
-        arrived = variants(batch).withColumn("content_id", content_id).dropDuplicates(["content_id"])
-        if written - {batch_id}:
-            done = spark.read.parquet(*[f"{seen}/batch_id={b}" for b in sorted(written - {batch_id})])
-            arrived = arrived.join(done, "content_id", "left_anti")
-        arrived = arrived.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.xxhash64("content_id"))
-        merged = reconcile(arrived).join(arrived.select("doc_id", "own_id", "content_id"), "doc_id")
-        result = merged.select(F.col("own_id").alias("doc_id"), *names, "content_id")
-        result.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        stored = spark.read.parquet(f"{out}/batch_id={batch_id}").select("content_id")
-        stored.write.mode("overwrite").parquet(f"{seen}/batch_id={batch_id}")
-        written.add(batch_id)
-
-    fields = "doc_id long, preview string, conflicts long, singletons long, agreements long, content_id string"
+    arrived = variants(documents).withColumn("content_id", content_id).dropDuplicates(["content_id"])
+
+    def merge(batch: DataFrame) -> DataFrame:
+        sets = batch.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.xxhash64("content_id"))
+        merged = reconcile(sets).join(sets.select("doc_id", "own_id", "content_id"), "doc_id")
+        return merged.select(F.col("own_id").alias("doc_id"), *names)
+
+    fields = "doc_id long, preview string, conflicts long, singletons long, agreements long"
     schema = documents.sparkSession.createDataFrame([], fields).schema
-    return run_to_table(documents, "append", write, schema).drop("batch_id", "content_id")
+    return run_to_table(arrived, "append", merge, schema, root).drop("batch_id")
