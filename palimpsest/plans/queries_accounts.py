@@ -214,7 +214,7 @@ def session_eviction(spark: SparkSession, folder: str) -> DataFrame:
     with_(
         recipe_sql("sessions", "access_tokens"),
         """uses AS (SELECT session_id, created_at + CAST(floor(value * 100000000) AS BIGINT)
-  AS used_at FROM sessions WHERE value < 5),
+  AS used_at FROM sessions),
 firsts AS (SELECT family_id, min(used_at) AS reused_at FROM uses u
   JOIN sessions s ON s.session_id = u.session_id
   WHERE s.replaced_by IS NOT NULL AND used_at >= s.revoked_at GROUP BY family_id),
@@ -230,7 +230,7 @@ FROM hit h GROUP BY h.family_id, h.reused_at""",
 )
 def refresh_reuse(spark: SparkSession, folder: str) -> DataFrame:
     sessions, tokens = _sessions(spark, folder, "sessions", "access_tokens")
-    uses = sessions.where(F.col("value") < 5).select(
+    uses = sessions.select(
         "session_id",
         (F.col("created_at") + F.floor(F.col("value") * 100_000_000)).alias("used_at"),
     )

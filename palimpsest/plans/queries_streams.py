@@ -53,13 +53,13 @@ def rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
     with_(
         recipe_sql("sessions"),
         "uses AS (SELECT *, created_at + CAST(floor(value * 100000000) AS BIGINT) AS used_at "
-        "FROM sessions WHERE value < 5)",
+        "FROM sessions)",
     )
     + "SELECT family_id, min(used_at) AS reused_at FROM uses WHERE replaced_by IS NOT NULL "
     "AND used_at >= revoked_at GROUP BY family_id",
 )
 def reuse_stream(spark: SparkSession, folder: str) -> DataFrame:
-    uses = recipe(spark, folder, "sessions").where(F.col("value") < 5).select(
+    uses = recipe(spark, folder, "sessions").select(
         "family_id",
         "session_id",
         (F.col("created_at") + F.floor(F.col("value") * 100_000_000)).alias("used_at"),

@@ -20,15 +20,15 @@ UNITS = "doc_id long, pos long, text string, start_ms long, end_ms long"
 
 def test_diagnostics_literal(spark):
     units = spark.createDataFrame(
-        [(1, 0, "A", -2, 5), (1, 1, "", 4, 8), (1, 2, "B", 9, 8), (1, 3, " ", 9, 9),
-         (2, 0, "x", 0, 1), (2, 1, "y", 1, 2)], UNITS)
-    inputs = spark.createDataFrame([(1, "AB  "), (2, "xy"), (3, "")], "doc_id long, audio_text string")
+        [(1, 0, "K", -5, 4), (1, 1, "", 3, 9), (1, 2, "LM", 12, 10), (1, 3, "\t", 10, 10), (2, 0, "no", 7, 8), (3, 0, "p", 0, 3), (3, 1, "q", 3, 6)], UNITS)
+    inputs = spark.createDataFrame([(1, "KLM"), (2, ""), (3, "pq"), (4, "")], "doc_id long, audio_text string")
     rows = {r.doc_id: r for r in U.diagnostics(units, inputs).collect()}
-    r = rows[1]
-    assert (r.relation, r.input_length, r.output_length, r.length_delta) == ("differs", 4, 3, -1)
-    assert (r.utterance_count, r.empty_text_count, r.negative_time_count) == (4, 1, 1)
-    assert (r.reversed_interval_count, r.zero_duration_count, r.overlap_count) == (1, 1, 1)
-    assert (rows[2].relation, rows[3].relation, rows[3].utterance_count) == ("identical", "identical", 0)
+    one = rows[1]
+    assert (one.relation, one.input_length, one.output_length, one.length_delta, one.utterance_count) == ("differs", 3, 4, 1, 4)
+    faults = ("empty_text_count", "negative_time_count", "reversed_interval_count", "zero_duration_count", "overlap_count")
+    assert {f: one[f] for f in faults} == dict.fromkeys(faults, 1)
+    assert (rows[2].relation, rows[2].length_delta) == ("differs", 2)
+    assert [(rows[i].relation, rows[i].utterance_count) for i in (3, 4)] == [("identical", 2), ("identical", 0)]
 
 
 def test_srt_literal_and_parts(spark):
@@ -70,18 +70,20 @@ def test_hmac_and_length_prefix_equal_the_standard_library(spark):
 
 
 def test_redaction_keeps_diagnostic_names(spark):
-    secret = 'tos-secret/+"\\value'
+    from urllib.parse import quote
+
+    plain, odd = "open-sesame-77", 'va/ul+"t\\9'
+    cut = "-" * 4093
     messages = [
-        "invalid key fixture-secret; Authorization: Bearer echoed-secret",
-        'X-Api-Message: denied {"TOS_SECRET_KEY": "abc"} tos-secret%2F%2B%22%5Cvalue',
-        "a" * 4090 + "fixture-secret" + "x" * 100,
+        f"refused {plain} at gate; authorization: Basic Zm9v, next",
+        f'X-Trace: 12 {{"service_api_key": \'k"1\'}} {quote(odd, safe="")} and {odd}',
+        f"{cut}{plain}{cut}",
     ]
     frame = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "i int, m string")
-    rows = {r.i: r for r in X.redact(frame, "m", ["fixture-secret", secret]).collect()}
-    assert rows[0].body == "invalid key [REDACTED]; Authorization: [REDACTED]"
-    assert rows[1].body == 'X-Api-Message: denied {"TOS_SECRET_KEY": [REDACTED]} [REDACTED]'
-    assert rows[2].excerpt_cut and rows[2].excerpt == ("a" * 4090 + "[REDACTED]")[:4096]
-    assert rows[2].body == "a" * 4090 + "[REDACTED]" + "x" * 100
+    rows = {r.i: r for r in X.redact(frame, "m", [plain, odd]).collect()}
+    assert rows[0].body == "refused [REDACTED] at gate; authorization: [REDACTED], next"
+    assert rows[1].body == 'X-Trace: 12 {"service_api_key": [REDACTED]} [REDACTED] and [REDACTED]'
+    assert rows[2].body == f"{cut}[REDACTED]{cut}" and rows[2].excerpt_cut and rows[2].excerpt == f"{cut}[RE"
 
 
 def test_paths_and_pdf(spark):
