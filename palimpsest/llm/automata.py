@@ -6,15 +6,16 @@ id. Automata of the whole corpus cannot be sent to every document, so both meet
 1. *Anchors.* Among the word runs of `GRAM` words inside a window the one of least hash is its anchor. Equal
    windows have equal anchors. Windows in a row with one anchor form a segment; texts emit a small row a
    segment, and anchors seen in one document only are dropped.
-2. *Shards.* Equal segments are one reference with its smallest document (folded before the shuffle). The
-   references are dealt by anchor to shards of about `SHARD_WORDS` words: a bounded automaton each, built
-   where it is used. The segments of an anchor with very many different ones are halved by the place of the
+2. *Forms.* Equal segments are one form from here on, with its smallest and largest document; copies and shared passages
+   cost one form each, and what is decided about a form's windows is joined to its rows once, at the end.
+3. *Shards.* The smallest document of a form is a reference. The references are dealt by anchor to shards of about `SHARD_WORDS` words: a bounded automaton each, built
+   where it is used. The forms of an anchor with very many are halved by the place of the
    anchor in the window, until the words that the windows of a half share tell the texts apart: no shard grows
    with a hot phrase, and halves that stand in one document only leave.
-3. *Matching statistics.* A shard builds the suffix automaton of its references, with the smallest document
+4. *Matching statistics.* A shard builds the suffix automaton of its references, with the smallest document
    of every state, and streams the segments of the documents through it: at every word the state of the
    longest match is cut to `window` words, and its smallest document decides about that window.
-4. Spans of a document are merged and removed in one pass over the texts; texts without any never move.
+5. Spans of a document are merged and removed in one pass over the texts; texts without any never move.
 
 Defined results: null, empty and short texts lose nothing; words are kept as they are, joined by one space;
 overlapping windows inside one document do not count, only those of smaller ids; equal rows of one id are
@@ -78,6 +79,8 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SEGMENT = ["anchor", "content", "doc_id", "start", "number", "at"]
+#: What a form keeps when it is cut: its largest document, and the segment it was cut from with its first word.
+_ORIGIN = ["most", "root_anchor", "root_content", "origin"]
 
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -106,7 +109,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _halves(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
-    """Segments of hot anchors, cut in two by the place of the anchor in the window.
+    """Forms of hot anchors, cut in two by the place of the anchor in the window, from the text of their document.
 
     The windows of a half have more words in common than the anchor; these and the half are their new anchor.
     Equal windows stay together, since the place of the anchor is part of the window.
@@ -134,17 +137,29 @@ def _halves(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
                     key = mixed(key ^ (low[fine].astype(np.uint64) << np.uint64(32)) ^ high[fine].astype(np.uint64))
                     content = run_hashes(hashes, place + start[fine], place + (start + number + window - 1)[fine])
                     columns = [key.view(np.int64), content.view(np.int64), doc[fine], start[fine], number[fine], span["at"][fine], low[fine], high[fine]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*_SEGMENT, "low", "high"])
+                    columns += [span[c][fine] for c in _ORIGIN]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    spans = hot.groupBy("doc_id").agg(F.collect_list(F.struct("start", "number", "at", "low", "high")).alias("spans"))
-    return _with_spans(docs, spans).mapInArrow(run, ", ".join(f"{c} long" for c in [*_SEGMENT, "low", "high"]))
+    names = [*_SEGMENT, "low", "high", *_ORIGIN]
+    spans = hot.groupBy("doc_id").agg(F.collect_list(F.struct("start", "number", "at", "low", "high", *_ORIGIN)).alias("spans"))
+    return _with_spans(docs, spans).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """The rows whose anchor stands in two documents at least."""
-    by_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
+def _forms(found: DataFrame) -> DataFrame:
+    """Different segments, each with its smallest document (and its place there) and its largest one."""
+    # the anchor of equal words has one place in them, so any row tells it
+    folded = found.groupBy("anchor", "content").agg(
+        F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"), F.min_by("start", "doc_id").alias("start"),
+        F.first("number").alias("number"), F.first(F.col("at") - F.col("start")).alias("into"),
+    )
+    return materialize(folded.withColumn("at", F.col("start") + F.col("into")).drop("into"))
+
+
+def _shared(forms: DataFrame) -> DataFrame:
+    """The forms whose anchor stands in two documents at least."""
+    by_anchor = forms.groupBy("anchor").agg(F.min("doc_id").alias("one"), F.max("most").alias("other"))
     shared = materialize(by_anchor.where("one < other").select("anchor"))
-    likely = maybe(found, F.col("anchor"), sieve(shared, "anchor")).where("`~maybe`").drop("~maybe")
+    likely = maybe(forms, F.col("anchor"), sieve(shared, "anchor")).where("`~maybe`").drop("~maybe")
     return materialize(likely.join(shared, "anchor"))
 
 
@@ -267,8 +282,10 @@ def _match(window: int):
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`doc_id, spans`: word spans [start, end) that windows of smaller documents cover, a row per such document."""
-    met = _shared(materialize(segments(docs, window)))
-    met = met.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(window - GRAM + 1).cast("long"))
+    found = materialize(segments(docs, window))
+    whole = {"low": F.lit(0).cast("long"), "high": F.lit(window - GRAM + 1).cast("long")}
+    roots = {"root_anchor": F.col("anchor"), "root_content": F.col("content"), "origin": F.col("start")}
+    met = _shared(_forms(found)).withColumns(whole | roots)
     settled = []
     while True:
         # different segments of an anchor, not its rows, make a shard grow
@@ -280,7 +297,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         told = met.join(hot, "anchor", "left")
         settled.append(materialize(told.where("hot is null").drop("hot")))
         met = _shared(materialize(_halves(docs, told.where("hot"), window)))
-    parts = reduce(DataFrame.unionByName, settled).drop("at", "low", "high")
+    parts = materialize(reduce(DataFrame.unionByName, settled).drop("at", "low", "high"))
     references = parts.groupBy("anchor", "content").agg(
         F.min("doc_id").alias("owner"),
         F.min_by("start", "doc_id").alias("start"), F.first("number").alias("number"),
@@ -289,9 +306,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shard: Column = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-words // SHARD_WORDS)))).cast("int")
     texts = _reference_words(docs, references.withColumn("shard", shard), window)
     lows = texts.groupBy("shard").applyInPandas(_match(window), "anchor long, content long, from long, to long, low long")
-    hits = parts.join(lows, ["anchor", "content"]).where("low < doc_id")
-    span = F.struct((F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + window - 1).alias("end"))
-    return hits.select("doc_id", span.alias("span")).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    # windows of whole forms: a part begins so many words behind its form
+    shift = F.col("start") - F.col("origin")
+    hits = parts.join(lows, ["anchor", "content"]).where("low < most").select(
+        F.col("root_anchor").alias("anchor"), F.col("root_content").alias("content"), "low",
+        (shift + F.col("from")).alias("from"), (shift + F.col("to") + window - 1).alias("to"),
+    )
+    hits = materialize(hits)
+    rows = maybe(found, F.col("content"), sieve(hits, "content")).where("`~maybe`").select("anchor", "content", "doc_id", "start")
+    hit = rows.join(hits, ["anchor", "content"]).where("low < doc_id")
+    span = F.struct((F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
+    return hit.select("doc_id", span.alias("span")).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
 def _cleaned(docs: DataFrame, spans: DataFrame, run, schema) -> DataFrame:
