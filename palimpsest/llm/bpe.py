@@ -304,10 +304,8 @@ class Codec:
         memory.update((key, got == ids) for (key, ids), got in zip(new, merged, strict=True))
         return np.fromiter(map(memory.__getitem__, distinct.tolist()), bool, len(distinct))[back]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of distinct pieces: proposals, kept where every token and every adjacent pair is right."""
-        if not pieces:
-            return []
+    def _proposed(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int], list[list[int]]]:
+        """Proposed ids with their piece, the pieces whose proposal fails, and the merged ids of these."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         start = np.cumsum(size) - size
         flat, owner = self.propose(np.frombuffer(b"".join(pieces), np.uint8), start, size)
@@ -320,16 +318,32 @@ class Codec:
         wrong[owner[1:][inner][~good]] = True
         if len(self.pairs) > 2 * REMEMBERED:
             self.pairs.clear()
-        ids, bounds = flat.tolist(), np.searchsorted(owner, np.arange(len(pieces) + 1)).tolist()
-        found = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         failing = np.flatnonzero(wrong).tolist()
-        for i, merged in zip(failing, self.merge_all([pieces[i] for i in failing]), strict=True):
-            found[i] = merged
         self.counts["pieces"] += len(pieces)
         self.counts["pairs"] += len(keys)
         self.counts["merged"] += len(failing)
+        return flat, owner, failing, self.merge_all([pieces[i] for i in failing])
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of distinct pieces: proposals, kept where every token and every adjacent pair is right."""
+        if not pieces:
+            return []
+        flat, owner, failing, merged = self._proposed(pieces)
+        ids, bounds = flat.tolist(), np.searchsorted(owner, np.arange(len(pieces) + 1)).tolist()
+        found = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i, own in zip(failing, merged, strict=True):
+            found[i] = own
         return found
 
+    def count_pieces(self, pieces: list[bytes]) -> list[int]:
+        """How many ids each of the pieces has."""
+        if not pieces:
+            return []
+        _, owner, failing, merged = self._proposed(pieces)
+        found = np.bincount(owner, minlength=len(pieces))
+        found[failing] = list(map(len, merged))
+        return found.tolist()
+
     def _runs(self, text: str) -> Iterator[tuple[bool, str]]:
         """Stretches of ordinary text and the special tokens between them."""
         at = 0

@@ -130,12 +130,21 @@ def _ragged(rows: list[array]) -> tuple[np.ndarray, np.ndarray]:
 
 def _learn(new: list[bytes], byte_level: Codec, model, memory: dict[bytes, tuple[int, array]]) -> None:
     """Encode new words: the number of byte-level tokens and the piece ids of each."""
+    if not new:
+        return
+    # a word of ASCII letters alone is one piece, if the pattern does not part letters by case
+    letters = byte_level.piece.findall(" abXYcd") == [" abXYcd"]
+    simple = [w for w in new if letters and w.isalpha()]
+    plain = len(simple)
+    new = simple + [w for w in new if not (letters and w.isalpha())]
     as_text = [w.decode() for w in new]
-    cut = [byte_level.piece.findall(" " + w) for w in as_text]
-    known = list(set().union(*cut))
-    size_of = dict(zip(known, map(len, byte_level.encode_pieces([p.encode() for p in known])), strict=True))
-    for word, parts, ids in zip(new, cut, model.encode(as_text, num_threads=1) if new else [], strict=True):
-        memory[word] = sum(map(size_of.__getitem__, parts)), array("i", ids)
+    cut = [byte_level.piece.findall(" " + w) for w in as_text[plain:]]
+    known = list(set().union(*cut)) if cut else []
+    sizes = byte_level.count_pieces([b" " + w for w in new[:plain]] + [p.encode() for p in known])
+    size_of = dict(zip(known, sizes[plain:], strict=True))
+    sizes = sizes[:plain] + [sum(map(size_of.__getitem__, parts)) for parts in cut]
+    for word, n, ids in zip(new, sizes, model.encode(as_text, num_threads=1), strict=True):
+        memory[word] = n, array("i", ids)
 
 
 def measures(texts: Texts, words: Words, hashes: np.ndarray, byte_level: Codec, pieces) -> np.ndarray:
