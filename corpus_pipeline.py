@@ -6,6 +6,8 @@ documents, with the columns of `documents` (the last one: tokens). Each works on
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.functions.materialize import materialize
@@ -14,27 +16,47 @@ from palimpsest.llm.queries import vocabulary
 from palimpsest.sources.tables import table
 
 
+#: Bytes of one Arrow batch. Whole texts come in batches, and a worker holds a batch while it cuts it into slices.
+BATCH_BYTES = "4m"
+
+
+def bounded(stage):
+    """A stage whose tasks get small batches; the setting stays for the write that runs the stage."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise quality ranking accepts."""
     model = ranking.train(docs, table(spark, sf_dir, "labels"))
     return ranking.accepted(docs, model)
 
 
+@bounded
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near copies."""
     return bayes_dedup.one_of_each(docs)
 
 
+@bounded
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that documents of smaller id have too."""
     return automata.dedup(docs)
 
 
+@bounded
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents are left out or repeated as the plan draws them."""
     return mixing.mix(docs)
 
 
+@bounded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`doc_id, ids` of every row: the whole text encoded."""
     return bpe.encode(docs, vocabulary("byte_bpe_50k.json"))
