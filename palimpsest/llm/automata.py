@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
 from palimpsest.llm.sieve import maybe, sieve
-from palimpsest.llm.words import gram_hashes, mixed, run_hashes, slices, texts_of, word_hashes, words_of
+from palimpsest.llm.words import gram_hashes, mixed, run_hashes, slices, texts_of, tidied, word_hashes, words_of
 
 WINDOW = 50
 GRAM = 16
@@ -98,7 +98,7 @@ def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _SEGMENT)
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return chosen.mapInArrow(run, ", ".join(f"{c} long" for c in _SEGMENT))
+    return chosen.mapInArrow(tidied(run), ", ".join(f"{c} long" for c in _SEGMENT))
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _halves(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
 
     names = [*_SEGMENT, "low", "high", *_ORIGIN]
     spans = hot.groupBy("doc_id").agg(F.collect_list(F.struct("start", "number", "at", "low", "high", *_ORIGIN)).alias("spans"))
-    return _with_spans(docs, spans).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return _with_spans(docs, spans).mapInArrow(tidied(run), ", ".join(f"{c} long" for c in names))
 
 
 def _forms(found: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _reference_words(docs: DataFrame, references: DataFrame, window: int) -> Dat
 
     span = F.struct("shard", "anchor", "content", "start", "number")
     spans = references.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(span).alias("spans"))
-    return _with_spans(docs, spans).mapInArrow(run, "shard int, anchor long, content long, owner long, words binary")
+    return _with_spans(docs, spans).mapInArrow(tidied(run), "shard int, anchor long, content long, owner long, words binary")
 
 
 class Automaton:
@@ -327,7 +327,7 @@ def _cleaned(docs: DataFrame, spans: DataFrame, run, schema) -> DataFrame:
     still = marked.where("not `~maybe`").drop("~maybe").withColumn("~spans", nothing)
     known = spans.select(F.col("doc_id").alias("~id"), F.col("spans").alias("~spans"))
     moved = marked.where("`~maybe`").drop("~maybe").join(known, F.col("doc_id").cast("long") == F.col("~id"), "left").drop("~id")
-    return still.unionByName(moved).mapInArrow(run, schema)
+    return still.unionByName(moved).mapInArrow(tidied(run), schema)
 
 
 def _keep(words: list[bytes], spans: list[dict]) -> list[bytes]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.materialize import materialize
 from palimpsest.llm.components import components
 from palimpsest.llm.sieve import maybe, sieve, without
-from palimpsest.llm.words import gram_hashes, lowered, run_hashes, slices, texts_of, word_hashes, words_of
+from palimpsest.llm.words import gram_hashes, lowered, run_hashes, slices, texts_of, tidied, word_hashes, words_of
 
 SHINGLE = 5
 #: Percent of the union that must be shared.
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, digest_a long, digest_b long, bits_a long, bits_b long, sig binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 @lru_cache(maxsize=1024)
@@ -155,7 +155,7 @@ def bayes_prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     with_a = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
     with_b = with_a.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    return with_b.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return with_b.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     asked = maybe(chosen, F.col("doc_id"), sieve(wanted, "doc_id")).where("`~maybe`").select("doc_id", "text")
-    return asked.mapInArrow(run, "doc_id long, items array<bigint>")
+    return asked.mapInArrow(tidied(run), "doc_id long, items array<bigint>")
 
 
 def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _compare_blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
                     out_b.append(ids[rows])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
-    return left.join(right, "band").select("place", "main", "left", "right").mapInArrow(run, "a long, b long")
+    return left.join(right, "band").select("place", "main", "left", "right").mapInArrow(tidied(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

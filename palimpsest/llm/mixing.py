@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
-from palimpsest.llm.words import slices, texts_of, words_of
+from palimpsest.llm.words import slices, texts_of, tidied, words_of
 
 SHARDS = 64
 BLOCKS_PER_SHARD = 16
@@ -55,7 +55,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     chosen = docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")
     )
-    return chosen.mapInArrow(run, "doc_id long, source string, size long")
+    return chosen.mapInArrow(tidied(run), "doc_id long, source string, size long")
 
 
 def targets(amounts: np.ndarray, weights: np.ndarray, share: float, cap: float) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.words import Texts, Words, gram_hashes, lowered, slices, texts_of, word_hashes, words_of
+from palimpsest.llm.words import Texts, Words, gram_hashes, lowered, slices, texts_of, tidied, word_hashes, words_of
 
 #: Labelled rows that may be used for training.
 TRAIN_ROWS = 20_000
@@ -165,7 +165,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, features array<double>")
+    return chosen.mapInArrow(tidied(run), "doc_id long, features array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> Ranking:
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: Ranking) -> DataFrame:
                 values = model.scores(features(texts_of(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Ranking) -> DataFrame:
@@ -202,4 +202,4 @@ def accepted(docs: DataFrame, model: Ranking) -> DataFrame:
                 passes = model.scores(features(texts_of(part.column("text")))) >= CUT
                 yield part.filter(pa.array(passes))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

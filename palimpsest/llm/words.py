@@ -6,7 +6,10 @@ batch at a time, so memory follows the slice budget (or the longest single text)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,6 +125,24 @@ def _powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run`, which gives back what it held when its task ends: workers are used again and wait between tasks."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _tables.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
     """Polynomial hashes of `values[start:end]`, the same wherever the span lies."""
     up, down = _powers(base, len(values) + 1)
