@@ -11,12 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from palimpsest.functions.materialize import shared_folder
+from palimpsest.functions.materialize import rows_of, shared_folder
 
 MANIFEST = "rows long, late long"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,26 +26,16 @@ def new_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _there(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of a folder that may not be there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 class BatchSink:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def is_complete(self, batch_id: int) -> bool:
-        return not _there(self.spark, f"{self.root}/manifest/batch_id={batch_id}", MANIFEST).isEmpty()
+        return not rows_of(self.spark, f"{self.root}/manifest/batch_id={batch_id}", MANIFEST).isEmpty()
 
     def manifest(self) -> DataFrame:
         """`batch_id, rows, late` of every complete batch."""
-        return _there(self.spark, f"{self.root}/manifest", f"{MANIFEST}, batch_id int")
+        return rows_of(self.spark, f"{self.root}/manifest", f"{MANIFEST}, batch_id int")
 
     def write(self, batch: DataFrame, batch_id: int, transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
         if self.is_complete(batch_id):  # replayed: the state store needs the rows, the table does not
@@ -65,7 +54,7 @@ class BatchSink:
     def table(self, schema: StructType) -> DataFrame:
         """Rows of all complete batches, with `batch_id`."""
         named = StructType([*schema.fields]).add("batch_id", "integer")
-        rows = _there(self.spark, f"{self.root}/out", named)
+        rows = rows_of(self.spark, f"{self.root}/out", named)
         return rows.join(F.broadcast(self.manifest().select("batch_id")), "batch_id", "left_semi").select(*named.names)
 
 
