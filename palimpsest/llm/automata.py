@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
 from palimpsest.llm.sieve import maybe, sieve
-from palimpsest.llm.words import gram_hashes, mixed, run_hashes, slices, texts_of, tidied, word_hashes, words_of
+from palimpsest.llm.words import give_back, gram_hashes, mixed, run_hashes, slices, texts_of, tidied, word_hashes, words_of
 
 WINDOW = 50
 GRAM = 16
@@ -275,6 +275,8 @@ def _match(window: int):
                     if found[begin] is not None:
                         out.append((anchor, content, begin, i, found[begin]))
                     begin = i
+        automaton = sequences = raw = None
+        give_back()
         return pd.DataFrame(out, columns=["anchor", "content", "from", "to", "low"]).astype("int64")
 
     return match

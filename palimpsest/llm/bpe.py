@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.words import Texts, Words, slices, texts_of, word_hashes
+from palimpsest.llm.words import Texts, Words, give_back, slices, texts_of, tidied, word_hashes
 
 #: Distinct stretches of a generation: a process remembers the last two (the results do not depend on it).
 REMEMBERED = 150_000
@@ -446,6 +446,7 @@ def codec(path: str) -> Codec:
     """One codec per worker process and file."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        give_back()
     return _codecs[path]
 
 
@@ -465,7 +466,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return chosen.mapInArrow(tidied(run), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(tokens: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -479,7 +480,7 @@ def decode(tokens: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "
 
     chosen = tokens.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     kind = chosen.schema["key"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return chosen.mapInArrow(tidied(run), f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -499,4 +500,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         known.forget()
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return chosen.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -125,20 +125,26 @@ def _powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    _tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """`run`, which gives back what it held when its task ends: workers are used again and wait between tasks."""
 
     @functools.wraps(run)
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         try:
             yield from run(batches)
         finally:
-            _tables.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim:
-                trim(0)
+            give_back()
 
     return whole
 
