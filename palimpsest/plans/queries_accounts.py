@@ -422,6 +422,17 @@ def identity_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return A.identity_lookup(recipe(spark, folder, "identities"))
 
 
+@query(
+    "identity_by_subject",
+    with_(recipe_sql("identities"))
+    + """SELECT a.provider, a.subject, i.identity_id, i.user_id FROM (SELECT DISTINCT provider, subject FROM identities) a
+LEFT JOIN identities i ON i.provider = a.provider AND i.subject = a.subject AND i.status = 'active'""",
+)
+def identity_by_subject(spark: SparkSession, folder: str) -> DataFrame:
+    identities = recipe(spark, folder, "identities")
+    return A.find_identity(identities, identities)
+
+
 @query(
     "revocation_cascade",
     with_(
