@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
 
+#: Bytes of words hashed at once: a hash takes some 40 bytes of arrays for every byte of text.
+HASH_BYTES = 128_000
+
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -158,11 +161,16 @@ def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint
 
 
 def word_hashes(texts: Texts, words: Words) -> np.ndarray:
-    """64-bit hashes of the words' bytes."""
-    if not len(words.start):
-        return np.zeros(0, np.uint64)
-    spread = mixed(np.arange(1, 257, dtype=np.uint64))[texts.data]
-    return mixed(_spans(spread, words.start, words.end, _BASE))
+    """64-bit hashes of the words' bytes, some words at a time."""
+    spread = mixed(np.arange(1, 257, dtype=np.uint64))
+    out, a = np.empty(len(words.start), np.uint64), 0
+    while a < len(out):
+        low = words.start[a]
+        b = max(a + 1, int(np.searchsorted(words.end, low + HASH_BYTES, "right")))
+        values = spread[texts.data[low : words.end[b - 1]]]
+        out[a:b] = mixed(_spans(values, words.start[a:b] - low, words.end[a:b] - low, _BASE))
+        a = b
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
