@@ -69,8 +69,17 @@ OTHERS = frozenset(
 #: Words after these say how a page is laid out (`no-sidebar`, `has-comments`), as do words before those (`comments-open`).
 LAYOUT_BEFORE = frozenset("no not without has have with".split())
 LAYOUT_AFTER = frozenset("open opened closed enabled disabled".split())
-#: Parts of one word that name them too (`sitefooter`, `commentlist`).
+#: Parts of one word that name them too, before or after a word of `PLACES` (`sitefooter`, `commentlist`).
 AROUND_PARTS = ("sidebar", "footer", "comment", "advert", "navbar", "cookie", "newsletter", "breadcrumb", "sponsor")
+#: Words that say where or what a part is and nothing of what it tells. Ids are often made from headings, so an id
+#: names a part only if all its other words are of these (`related-posts`, not `related-work`).
+PLACES = frozenset(
+    "area article articles bar block box button buttons col column container content entries feed footer form global group header holder icons "
+    "inner item items js left link links list main media module outer page panel post posts primary region right row secondary section  "
+    "site slot stories story thread top bottom unit wrap wrapper zone s".split()
+)
+#: Tags that hold parts of a page; headings, paragraphs, items, quotes, tables and figures are judged by no name.
+CONTAINERS = frozenset("body main article section div aside header footer nav ul ol dl center details form span a".split())
 #: Tags that end an open paragraph or item of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -160,7 +169,10 @@ class Page:
                     if tag_of[stack[depth]] in SCOPES[name]:
                         break
             node = self._open(name, stack[-1], name in NO_ARTICLE or (name == "header" and not self.held[stack[-1]]) or (name != "body" and hidden(rest)))
-            if words := around(rest):
+            words = around(rest) if name in CONTAINERS else None
+            if name == "header" and self.held[stack[-1]]:
+                words &= OTHERS  # the title of an article
+            if words:
                 self.named[node] = words
             if name == "br" or name in ("td", "th"):
                 pieces.append((node, " "))
@@ -191,6 +203,14 @@ def hidden(attributes: str) -> bool:
     return any(key == "hidden" or (key == "aria-hidden" and value.lower() == "true") for key, value in marks(attributes))
 
 
+def names_part(word: str) -> bool:
+    """Whether a word joins a part's name and a place (`sitefooter`)."""
+    for part in AROUND_PARTS:
+        if word.startswith(part) and word[len(part) :] in PLACES or word.endswith(part) and word[: -len(part)] in PLACES:
+            return True
+    return False
+
+
 def around(attributes: str) -> frozenset[str]:
     """Words of class, id or role that name a part around an article; the state of a layout is none."""
     found = set()
@@ -198,13 +218,18 @@ def around(attributes: str) -> frozenset[str]:
         if key in ("hidden", "aria-hidden"):
             continue
         for token in value.lower().split():
-            words = _WORD.findall(token)
+            words, named = _WORD.findall(token), set()
             for at, word in enumerate(words):
                 if word in LAYOUT_BEFORE or (at + 1 < len(words) and words[at + 1] in LAYOUT_AFTER):
                     break
                 if word in AROUND:
-                    found.add(word)
-                found.update(part for part in AROUND_PARTS if part in word)
+                    named.add(word)
+                elif names_part(word):
+                    named.add(next(part for part in AROUND_PARTS if part in word))
+                elif key == "id" and word not in PLACES and not word.isdigit():
+                    named.clear()
+                    break
+            found |= named
     return frozenset(found)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, crf, density, fertility, licenses, queries, ranking
+from palimpsest.llm import bpe, crf, density, fertility, licenses, queries, ranking, words
 from tests.llm.helpers import FOLDER, WORD, awkward, documents, folded
 
 BYTE_BPE = queries.vocabulary("byte_bpe_50k.json")
@@ -339,6 +339,26 @@ def test_extraction_of_pages_with_layout_names(html):
     assert density.main_text(html) == "A long paragraph of the article, with many words in it.\nAnother <one> of them, also long enough."
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<h2 id="related-work">Own</h2>', '<section id="social-policy">Own</section>', '<p class="lead share-price">Own</p>', '<p class="commentary">Own</p>',
+        '<section id="inadvertent-errors"><p>Own</p></section>', '<div class="commentary"><p>Own</p></div>', '<blockquote class="alert-level">Own</blockquote>',
+        '<header class="banner"><h2>Own</h2></header>', '<ul><li class="search menu">Own</li></ul>', '<table class="notice"><tr><td class="ad">Own</td></tr></table>',
+        '<figure class="promo"><figcaption class="share">Own</figcaption></figure>', '<pre class="alert">Own</pre>', '<h3 class="comments">Own</h3>',
+    ],
+)
+def test_extraction_judges_no_text_by_its_name(part):
+    text = "A long paragraph of the article, with many words in it.\nAnother <one> of them, also long enough."
+    assert density.main_text(f"<body><article>{ARTICLE}{part}</article></body>") == f"{text}\nOwn"
+
+
+@pytest.mark.parametrize("part", ["div id=related-posts", "div class=sitefooter", "ol class=commentlist", "aside id=x", "section id=comments", "div id=cookie-bar-2", "div class='page-ad slot'"])
+def test_extraction_leaves_named_parts(part):
+    text = "A long paragraph of the article, with many words in it.\nAnother <one> of them, also long enough."
+    assert density.main_text(f"<body><article>{ARTICLE}<{part}><p>Of others</p></{part.split()[0]}></article></body>") == text
+
+
 def test_extraction_keeps_titles_leads_and_short_sections():
     body = "".join(f"<p>{f'word{i} ' * 40}</p>" for i in range(5))
     text = "\n".join(" ".join([f"word{i}"] * 40) for i in range(5))
@@ -360,6 +380,20 @@ def test_extraction_keeps_every_row(spark):
     assert density.extract(pages.limit(0)).count() == 0
 
 
+# words
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    texts = words.texts_of(pa.array(["one two  three", None, "", " x " * 50, "y" * 400 + " one"]))
+    found = words.words_of(texts)
+    whole = words.word_hashes(texts, found)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(words, "HASH_BYTES", size)
+        assert words.word_hashes(texts, found).tolist() == whole.tolist()
+    assert whole[0] == whole[-1] and len(set(whole.tolist())) == 5
+    assert not len(words.word_hashes(words.texts_of(pa.array([], pa.string())), words.words_of(words.texts_of(pa.array([], pa.string())))))
+
+
 # tokens
 
 
