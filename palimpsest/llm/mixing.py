@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
@@ -213,10 +213,19 @@ def mix(docs: DataFrame, shards: int = SHARDS, **choices) -> DataFrame:
     at_block = (F.col("~sid") == F.col("~s")) & (F.col("~of") == F.col("~b"))
     counts = own(made.counts).withColumnsRenamed({"~sid": "~s", "~block": "~b"})
     known = placed.join(F.broadcast(counts), at_block).drop("~s", "~b")
-    filled = own(made.filled.groupBy("doc_id").agg(F.max("copies").alias("filled")))
-    opened = known.where("`~left` > 0").join(filled, key.eqNullSafe(F.col("~doc_id")), "left")
-    opened = opened.withColumn("~copies", F.coalesce("~filled", "~copies"))  # rows without words are not in it
-    known = known.where("`~left` = 0").unionByName(opened.drop("~doc_id", "~filled")).where("`~copies` > 0")
+    # rows of one id, source and size may differ by one copy: the first ones (by text) have it
+    alike = made.filled.groupBy("doc_id", "sid", "size")
+    filled = own(alike.agg(F.min("copies").alias("least"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("more")))
+    filled = filled.withColumnsRenamed({"~sid": "~s"})
+    words = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    turn = Window.partitionBy(key, "~sid", "~words").orderBy(F.xxhash64(F.col("text").cast("string")))
+    opened = known.where("`~left` > 0").withColumn("~words", words.cast("long")).withColumn("~turn", F.row_number().over(turn))
+    same = key.eqNullSafe(F.col("~doc_id")) & (F.col("~sid") == F.col("~s")) & (F.col("~words") == F.col("~size"))
+    opened = opened.join(filled, same, "left")
+    copies = F.col("~least") + (F.col("~turn") <= F.col("~more")).cast("int")
+    opened = opened.withColumn("~copies", F.coalesce(copies, "~copies"))  # rows without words are not in it
+    opened = opened.drop("~doc_id", "~s", "~size", "~least", "~more", "~words", "~turn")
+    known = known.where("`~left` = 0").unionByName(opened).where("`~copies` > 0")
     each = known.withColumn("~turn", F.explode(F.sequence(F.lit(1), F.col("~copies"))))
     drawn = own(made.blocks).withColumnsRenamed({"~sid": "~s", "~block": "~b"})
     dealt = each.join(F.broadcast(drawn), at_block & (F.col("~turn") == F.col("~copy")), "left")
