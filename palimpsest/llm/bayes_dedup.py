@@ -19,7 +19,8 @@ A pair at the threshold misses every band with chance (1 - 0.75^6)^60 < 1e-5; al
 
 Defined results: words are case-folded for A-Z only; fewer words than a shingle form one shingle; null,
 empty and blank texts have no shingles and are linked with nothing; repeated rows and ties join the same
-component; an empty table gives an empty result. Document ids are expected to be unique and not null.
+component; an empty table gives an empty result. A row without an id links nothing and is never dropped; its
+component is the smallest id with the same shingles that has one, else null.
 """
 
 from __future__ import annotations

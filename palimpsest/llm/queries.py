@@ -62,7 +62,8 @@ def op5_mtree_top_k(spark, folder):
 @query("op7_bayes_near_dedup")
 def op7_bayes_near_dedup(spark, folder):
     found = bayes_dedup.near_duplicates(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))  # a row without an id is never dropped
+    return found.select("doc_id", "n_shingles", "component_id", first.alias("kept"))
 
 
 @query("op2_substring_dedup")

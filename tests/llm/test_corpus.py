@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -89,6 +90,19 @@ def test_chains_groups_and_awkward_rows(spark):
     assert bayes_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_copies_without_ids_stay(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "a", 1), (5, text, "en", "a", 1), (3, text, None, None, 1), (None, "of its own " * 9, "en", "a", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_bayes_near_dedup(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter(
+        [(3, 3, True), (5, 3, False), (None, 3, True), (None, None, True), (None, None, True)]
+    )
+    left = bayes_dedup.one_of_each(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in left) == ["3", "None", "None", "None"]
+
+
 def test_pruning_bound_is_the_posterior():
     for n, t in ((40, 0.75), (128, 0.875)):
         m = bayes_dedup.least_equal(n, t, 1e-3)
@@ -217,6 +231,18 @@ def test_mixed_rows_follow_the_plan(spark):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.plan(odd.limit(0)).rows.count() == 0
 
 
+def test_mixed_rows_of_repeated_ids(spark):
+    rows = [(i % 40 if i % 3 else None, f"{'word ' * (i % 7)}{i % 5}", "ab"[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    size = {r: len((r[1] or "").split()) for r in rows}
+    wanted = Counter()
+    for r in mixing.plan(docs).rows.collect():
+        wanted[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], size[tuple(r)]) for r in mixing.mix(docs).collect())
+    assert got == +wanted
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixing.mix(docs).collect()))
+
+
 # search
 
 
