@@ -9,7 +9,7 @@ attempts and on at most five cooldown starts, each found by a combinable minimum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.materialize import materialize
@@ -91,10 +91,11 @@ def window_starts(times: DataFrame, keys: list[str]) -> DataFrame:
     return starts.unionByName(reached.select(*keys, "ts_ms")).distinct()
 
 
-def rate_limit_replay(attempts: DataFrame, keys: list[str], limit: int) -> DataFrame:
+def rate_limit_replay(attempts: DataFrame, keys: list[str], limit: int | Column) -> DataFrame:
     """Outcome of every attempt: `allowed`, `cooldown_started` or `in_cooldown`.
 
-    attempts: `keys, ts_ms, event_id`. `retry_after_s` is what the caller is told to wait.
+    attempts: `keys, ts_ms, event_id`. `retry_after_s` is what the caller is told to wait. A limit that is a
+    column is one of the keys.
     """
     sliced = attempts.withColumn("part", F.floor(F.col("ts_ms") / SLICE_MS))
     times = sliced.select(*keys, "ts_ms", "part").distinct()
@@ -143,3 +144,101 @@ def rate_limit_replay(attempts: DataFrame, keys: list[str], limit: int) -> DataF
         *keys, "event_id", "ts_ms", outcome.alias("outcome"),
         F.when(outcome != "allowed", wait).otherwise(0).cast("long").alias("retry_after_s"),
     )
+
+
+# Fixed value: what a refused password attempt is told to wait.
+REFUSED_S = 30
+_BUCKET = ["bucket_type", "bucket_key", "limit"]
+
+
+def by_bucket(attempts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """One row for every bucket of an attempt. limits: bucket type, which names the column of its key -> limit."""
+    kinds = [
+        F.struct(
+            F.lit(kind).alias("bucket_type"), F.col(kind).cast("string").alias("bucket_key"),
+            F.lit(limit).cast("long").alias("limit"),
+        )
+        for kind, limit in limits.items()
+    ]
+    rest = [c for c in attempts.columns if c not in limits]
+    return attempts.select(*rest, F.inline(F.array(*kinds))).where(F.col("bucket_key").isNotNull())
+
+
+def shared_limit_replay(attempts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Attempts that take a place in all their buckets at once; the longest wait counts.
+
+    attempts: `event_id, ts_ms, purpose` and a key column for every bucket type. A bucket counts an attempt
+    whatever the others say, so each is replayed on its own. A null key has no bucket; without any the
+    attempt is allowed. `refused_by` names the bucket types that made it wait, in order of their names.
+    """
+    each = by_bucket(attempts.select("event_id", "ts_ms", "purpose", *limits), limits)
+    replayed = rate_limit_replay(each, [*_BUCKET, "purpose"], F.col("limit"))
+    waits = replayed.where("retry_after_s > 0").groupBy("event_id").agg(
+        F.max("retry_after_s").alias("wait"),
+        F.array_join(F.sort_array(F.collect_set("bucket_type")), ",").alias("by"),  # one a type
+    )
+    return attempts.select("event_id", "ts_ms", "purpose").join(waits, "event_id", "left").select(
+        "event_id", "ts_ms", "purpose",
+        F.coalesce("wait", F.lit(0)).alias("retry_after_s"), F.coalesce("by", F.lit("")).alias("refused_by"),
+    )
+
+
+def _full_buckets(each: DataFrame, refused: DataFrame) -> DataFrame:
+    """`event_id, bucket` of the attempts that meet a full bucket, if exactly `refused` were refused."""
+    order, inner = ["ts_ms", "event_id"], [*_BUCKET, "epoch"]
+    told = each.join(refused.withColumn("refused", F.lit(True)), "event_id", "left")
+    counts = F.col("refused").isNull()
+    clears = F.when(counts & F.col("valid"), 1).otherwise(0)
+    told = running(told, _BUCKET, order, "part", inclusive=False, epoch=("sum", clears))
+    told = materialize(
+        told.withColumns({"epoch": F.coalesce("epoch", F.lit(0)), "uses": counts & ~F.col("valid")}).drop("refused")
+    )
+    times = told.where("uses").select(*inner, "ts_ms", "part").distinct()
+    starts = window_starts(times, inner).withColumn("is_start", F.lit(True))
+    used = running(told, inner, order, "part", inclusive=False, used=("sum", F.col("uses").cast("long")))
+    used = used.withColumn("used", F.coalesce("used", F.lit(0))).join(starts, [*inner, "ts_ms"], "left")
+    # of attempts at the time of a start the first one opens the window: the one with the fewest before it
+    opens = F.when(F.col("is_start") & F.col("uses"), F.struct("ts_ms", F.negative("used").alias("less")))
+    placed = running(used, inner, order, "part", inclusive=False, opened=("max", opens))
+    within = F.col("ts_ms") - F.col("opened.ts_ms") < WINDOW_MS
+    full = within & (F.col("used") + F.col("opened.less") >= F.col("limit"))
+    return placed.where(full).select("event_id", *_BUCKET)
+
+
+def password_limit_replay(attempts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """`limited`, `failed` or `passed` for every password attempt, whose buckets are coupled.
+
+    attempts: `event_id, ts_ms, valid` (whether phone, user and password are right) and a key column for every
+    bucket type. An attempt is limited if any of its buckets is full, and then changes none. Otherwise a wrong
+    one takes a place in all of them, and a right one empties them.
+
+    Whether an attempt is limited depends on earlier ones only, so exactly one set of limited attempts agrees with
+    itself. It is found by rounds: every bucket is replayed for the set of the round before, until no
+    attempt changes. A round settles all attempts whose buckets were settled before them; only buckets of
+    attempts that changed are replayed again. Rounds follow the longest chain of attempts that decide each
+    other over several buckets, not the number of attempts. Buckets are never gathered: running values and
+    window starts are those of the single-bucket replay. A null key has no bucket; a null `valid` is a wrong one.
+    """
+    attempts = attempts.withColumn("valid", F.coalesce("valid", F.lit(False)))
+    each = by_bucket(attempts.select("event_id", "ts_ms", "valid", *limits), limits)
+    each = materialize(each.withColumn("part", F.floor(F.col("ts_ms") / SLICE_MS)))
+    refused = each.select("event_id").limit(0)
+    full, scope = None, each
+    while True:
+        found = _full_buckets(scope, refused)
+        full = materialize(found if full is None else full.join(touched, _BUCKET, "left_anti").unionByName(found))
+        now = materialize(full.select("event_id").distinct())
+        changed = materialize(
+            now.join(refused, "event_id", "left_anti").unionByName(refused.join(now, "event_id", "left_anti"))
+        )
+        if changed.isEmpty():
+            break
+        refused = now
+        touched = materialize(each.join(changed, "event_id", "left_semi").select(*_BUCKET).distinct())
+        scope = each.join(touched, _BUCKET, "left_semi")
+    limited = attempts.join(refused.withColumn("refused", F.lit(True)), "event_id", "left")
+    outcome = F.when(F.col("refused"), "limited").when(F.col("valid"), "passed").otherwise("failed")
+    return limited.select(
+        "event_id", "ts_ms", outcome.alias("outcome"),
+        F.when(F.col("refused"), REFUSED_S).otherwise(0).cast("long").alias("retry_after_s"),
+    )
