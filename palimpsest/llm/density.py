@@ -16,6 +16,7 @@ accepted block is read: only lists of links before and after it are left out. El
 role, class or id (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments) take no part. Classes and ids set no body, main or article apart and nothing that holds one, but for
 comments, adverts and other articles beside the running text; words of a layout (`no-sidebar`, `comments-open`) say nothing.
+Headings, paragraphs, items, quotes, tables and figures are judged by no name, nor is the header of an article but as a text of others.
 
 Defined results: null or empty pages give an empty text; tags that are never closed end with what holds
 them; a page without body is its own body; if nothing has children the body is the article. Pages of any
