@@ -174,7 +174,8 @@ def dangling_references(artifacts: DataFrame, inputs: DataFrame) -> DataFrame:
 def artifact_upsert(existing: DataFrame, incoming: DataFrame, scope: tuple[str, ...] = ("kind",)) -> DataFrame:
     """Insert absent ids; the same id with other content is a collision.
 
-    A new id whose content the run already has under the same `scope` columns is `duplicate_content`.
+    A new id whose content the run already has under the same `scope` columns is `duplicate_content`; of new ids that
+    arrive with one content the smallest is inserted.
     """
     keys = ["run_id", "artifact_id"]
     arriving = incoming.groupBy(*keys).agg(
@@ -194,7 +195,13 @@ def artifact_upsert(existing: DataFrame, incoming: DataFrame, scope: tuple[str,
         .when(F.col("held"), "duplicate_content")
         .otherwise("inserted")
     )
-    return joined.select(*keys, outcome.alias("outcome"))
+    content = ["run_id", *scope, "new_hash"]
+    judged = joined.withColumn("outcome", outcome)
+    firsts = judged.where("outcome = 'inserted'").groupBy(*content).agg(F.min("artifact_id").alias("first"))
+    later = (F.col("outcome") == "inserted") & (F.col("artifact_id") > F.col("first"))
+    return judged.join(firsts, content, "left").select(
+        *keys, F.when(later, "duplicate_content").otherwise(F.col("outcome")).alias("outcome")
+    )
 
 
 def current_pointers(activations: DataFrame, stales: DataFrame) -> DataFrame:

@@ -256,7 +256,8 @@ def rotation_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LIMIT = 5
-_REPLAY_SQL = f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY bucket_key, purpose
+def _replay_sql(limit: int | str) -> str:
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY bucket_key, purpose
   ORDER BY ts_ms, event_id) AS rn FROM attempts),
 replay AS (
   SELECT bucket_key, purpose, event_id, ts_ms, rn, ts_ms AS started, 1 AS used,
@@ -268,13 +269,13 @@ replay AS (
     CASE WHEN o.ts_ms - r.started >= 900000 THEN 1 WHEN o.ts_ms < r.cooldown THEN r.used
          ELSE r.used + 1 END,
     CASE WHEN o.ts_ms - r.started >= 900000 THEN 0 WHEN o.ts_ms < r.cooldown THEN r.cooldown
-         WHEN r.used + 1 > {LIMIT} THEN o.ts_ms
-           + least(30 * CAST(power(2, r.used - {LIMIT}) AS BIGINT), 900) * 1000 ELSE 0 END,
+         WHEN r.used + 1 > {limit} THEN o.ts_ms
+           + least(30 * CAST(power(2, r.used - {limit}) AS BIGINT), 900) * 1000 ELSE 0 END,
     CASE WHEN o.ts_ms - r.started >= 900000 THEN 'allowed' WHEN o.ts_ms < r.cooldown
-         THEN 'in_cooldown' WHEN r.used + 1 > {LIMIT} THEN 'cooldown_started' ELSE 'allowed' END,
+         THEN 'in_cooldown' WHEN r.used + 1 > {limit} THEN 'cooldown_started' ELSE 'allowed' END,
     CASE WHEN o.ts_ms - r.started >= 900000 THEN 0
          WHEN o.ts_ms < r.cooldown THEN greatest(CAST(ceil((r.cooldown - o.ts_ms) / 1000.0) AS BIGINT), 1)
-         WHEN r.used + 1 > {LIMIT} THEN least(30 * CAST(power(2, r.used - {LIMIT}) AS BIGINT), 900)
+         WHEN r.used + 1 > {limit} THEN least(30 * CAST(power(2, r.used - {limit}) AS BIGINT), 900)
          ELSE 0 END
   FROM replay r JOIN ordered o ON o.bucket_key = r.bucket_key AND o.purpose = r.purpose
     AND o.rn = r.rn + 1)"""
@@ -282,7 +283,7 @@ replay AS (
 
 @query(
     "rate_limit_replay",
-    with_(recipe_sql("attempts"), _REPLAY_SQL)
+    with_(recipe_sql("attempts"), _replay_sql(LIMIT))
     + "SELECT bucket_key, purpose, event_id, ts_ms, outcome, wait AS retry_after_s FROM replay",
 )
 def rate_limit_replay(spark: SparkSession, folder: str) -> DataFrame:
@@ -290,6 +291,29 @@ def rate_limit_replay(spark: SparkSession, folder: str) -> DataFrame:
     return rate_limit.rate_limit_replay(attempts, ["bucket_key", "purpose"], LIMIT)
 
 
+_SHARED = {"client": 8, "ip": 20, "phone": 5}
+
+
+@query(
+    "shared_limit_replay",
+    with_(
+        recipe_sql("sign_ins"),
+        "attempts AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{kind}:' || {kind} AS bucket_key, purpose, event_id, ts_ms, {limit} AS lim FROM sign_ins"
+            for kind, limit in _SHARED.items()
+        )
+        + ")",
+        _replay_sql("o.lim"),
+    )
+    + """SELECT event_id, min(ts_ms) AS ts_ms, min(purpose) AS purpose, max(wait) AS retry_after_s,
+  coalesce(string_agg(split_part(bucket_key, ':', 1), ',' ORDER BY bucket_key) FILTER (wait > 0), '') AS refused_by
+FROM replay GROUP BY event_id""",
+)
+def shared_limit_replay(spark: SparkSession, folder: str) -> DataFrame:
+    return rate_limit.shared_limit_replay(recipe(spark, folder, "sign_ins"), _SHARED)
+
+
 @query(
     "identity_uniqueness",
     with_(recipe_sql("users", "identities", "credentials"))

@@ -91,14 +91,18 @@ def id_audit(spark: SparkSession, folder: str) -> DataFrame:
         """n AS (SELECT run_id, artifact_id, kind,
     CASE WHEN created_at % 50 = 0 THEN content_hash || 'x' ELSE content_hash END AS h
   FROM artifacts WHERE place >= 2
-  UNION ALL SELECT run_id, artifact_id + 50, kind, content_hash FROM artifacts WHERE place = 1),
+  UNION ALL SELECT run_id, artifact_id + 50, kind, content_hash FROM artifacts WHERE place = 1
+  UNION ALL SELECT run_id, artifact_id + 70, kind, content_hash FROM artifacts WHERE place >= 3),
 o AS (SELECT * FROM artifacts WHERE place <= 3)""",
-    )
-    + """SELECT n.run_id, n.artifact_id, CASE WHEN o.content_hash = n.h THEN 'unchanged'
+        """judged AS (SELECT n.*, CASE WHEN o.content_hash = n.h THEN 'unchanged'
   WHEN o.artifact_id IS NOT NULL THEN 'collision'
   WHEN EXISTS (SELECT 1 FROM o d WHERE d.run_id = n.run_id AND d.kind = n.kind
     AND d.content_hash = n.h) THEN 'duplicate_content' ELSE 'inserted' END AS outcome
-FROM n LEFT JOIN o ON o.run_id = n.run_id AND o.artifact_id = n.artifact_id""",
+FROM n LEFT JOIN o ON o.run_id = n.run_id AND o.artifact_id = n.artifact_id)""",
+    )
+    + """SELECT run_id, artifact_id, CASE WHEN outcome = 'inserted' AND EXISTS (SELECT 1 FROM judged e
+  WHERE e.outcome = 'inserted' AND e.run_id = j.run_id AND e.kind = j.kind AND e.h = j.h
+    AND e.artifact_id < j.artifact_id) THEN 'duplicate_content' ELSE outcome END AS outcome FROM judged j""",
 )
 def artifact_upsert(spark: SparkSession, folder: str) -> DataFrame:
     rows = recipe(spark, folder, "artifacts")
@@ -107,7 +111,8 @@ def artifact_upsert(spark: SparkSession, folder: str) -> DataFrame:
     ).otherwise(F.col("content_hash"))
     incoming = rows.where(F.col("place") >= 2).withColumn("content_hash", changed)
     again = rows.where(F.col("place") == 1).withColumn("artifact_id", F.col("artifact_id") + 50)
-    incoming = incoming.unionByName(again)
+    twice = rows.where(F.col("place") >= 3).withColumn("artifact_id", F.col("artifact_id") + 70)
+    incoming = incoming.unionByName(again).unionByName(twice)
     return L.artifact_upsert(rows.where(F.col("place") <= 3), incoming)
 
 

@@ -172,6 +172,9 @@ SELECT session_id * 10 AS token_id, session_id, user_id, created_at,
 RECIPES["attempts"] = (("ev",), """
 SELECT user_id AS bucket_key, event_type AS purpose, event_id,
        CAST(floor(ms / 600.0) AS BIGINT) AS ts_ms FROM {ev}""")
+RECIPES["sign_ins"] = (("ev",), """
+SELECT event_id, CAST(floor(ms / 600.0) AS BIGINT) AS ts_ms, event_type AS purpose, value > 80 AS valid,
+       user_id AS phone, user_id * 3 + event_id % 3 AS client, user_id % 97 AS ip FROM {ev}""")
 RECIPES["challenge_events"] = (("ev",), """
 SELECT event_id, user_id * 1000000 + CAST(floor(event_id / 100.0) AS BIGINT) AS challenge_id,
        ms AS ts_ms, value > 80 AS correct,
