@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import framed, text_id
+from palimpsest.functions.ordered import running
 from palimpsest.functions.text import block_piece, blocks, piece
 from palimpsest.operators.reconcile import boundary_map, spread
 
@@ -16,6 +19,9 @@ CONTEXT_STOPS = "。！？!?\n"
 MAX_CASES = 8
 MAX_INPUT_BYTES = 48_000
 ORDER_TAG = "candidate-order-v1"
+#: Cases of one block of jumps, and characters of one slice of running sums: neither changes a batch.
+PACK_BLOCK = 256
+PACK_SLICE = 65_536
 
 SOURCES = ("base", "a", "b", "peer")
 
@@ -276,60 +282,131 @@ def selection_cases(cases: DataFrame, contexts: DataFrame) -> DataFrame:
     return full.withColumn("bytes", F.octet_length(F.to_json(request)).cast("long"))
 
 
-def budget_batches(
-    cases: DataFrame, *, max_cases: int = MAX_CASES, max_bytes: int = MAX_INPUT_BYTES
-) -> DataFrame:
-    """Greedy, order-preserving packing: `doc_id, case_id, start, end, bytes, batch_no`.
+def _jumps(sums: Column, own: Column, room: int, max_cases: int) -> Column:
+    """For each of a block's cases (places from 1): the place of the case that opens the next batch.
 
-    A case too big on its own gets `batch_no` NULL and leaves the open batch open. Only
-    sizes enter the per-document fold; a document's cases are bounded by its text.
+    `sums` are running sums of a case's bytes and its comma, those of the next block's first cases too.
     """
-    wrapper = len('{"cases":[]}')
-    entry = F.struct("start", "end", "case_id", "bytes")
-    lists = cases.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("cases"))
+
+    def jumps(block: Column) -> Column:
+        def jump(case: Column, index: Column) -> Column:
+            reach = case["total"] - case["taken"] + room
+            ahead = F.sequence(index + 1, index + max_cases)
+            fitting = F.filter(ahead, lambda place: F.try_element_at(block["sums"], place) <= reach)
+            return index + 1 + F.size(fitting)
+
+        return F.transform(block["own"], jump)
+
+    # Bound by a lambda, the arrays are built once a block; inside `jump` they would be built once a case.
+    return F.transform(F.array(F.struct(sums.alias("sums"), own.alias("own"))), jumps)[0]
+
+
+def _exits(jumps: Column, rounds: int) -> Column:
+    """Jumps followed to the end of their block by pointer doubling: `to` and the batches on the way."""
+    zero = F.struct(jumps.alias("to"), F.transform(jumps, lambda _: F.lit(1)).alias("hops"))
+
+    def double(state: Column, _: Column) -> Column:
+        def onward(name: str, past: Column | None):
+            return lambda t: F.coalesce(F.try_element_at(state[name], t), t if past is None else past)
+
+        hops = F.transform(state["to"], onward("hops", F.lit(0)))
+        return F.struct(
+            F.transform(state["to"], onward("to", None)).alias("to"),
+            F.zip_with(state["hops"], hops, lambda x, y: x + y).alias("hops"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), zero, double)
+
+
+def _entries(blocks: Column) -> Column:
+    """Where the batches enter each block of a document, and how many batches opened before it."""
+    entry = "struct<block:bigint,entry:int,opened:int>"
     zero = F.struct(
-        F.lit(0).alias("batch"),
-        F.lit(0).alias("used"),
-        F.lit(0).cast("long").alias("size"),
-        F.expr("cast(array() as array<int>)").alias("out"),
+        F.lit(1).alias("entry"), F.lit(0).alias("opened"),
+        F.expr(f"cast(array() as array<{entry}>)").alias("out"),
     )
 
-    def step(state: Column, case: Column) -> Column:
-        too_big = case["bytes"] + wrapper > max_bytes
-        full = (state["used"] == max_cases) | (
-            state["size"] + 1 + case["bytes"] + wrapper > max_bytes
-        )
-        starts = (state["used"] == 0) | full
-        batch = state["batch"] + F.when(starts, 1).otherwise(0)
-        return (
-            F.when(
-                too_big,
-                F.struct(
-                    state["batch"].alias("batch"),
-                    state["used"].alias("used"),
-                    state["size"].alias("size"),
-                    F.array_append(state["out"], F.lit(None).cast("int")).alias("out"),
-                ),
-            ).otherwise(
-                F.struct(
-                    batch.alias("batch"),
-                    F.when(starts, 1).otherwise(state["used"] + 1).alias("used"),
-                    F.when(starts, case["bytes"])
-                    .otherwise(state["size"] + 1 + case["bytes"])
-                    .alias("size"),
-                    F.array_append(state["out"], batch).alias("out"),
-                )
-            )
+    def step(state: Column, block: Column) -> Column:
+        own = F.struct(block["block"].alias("block"), state["entry"].alias("entry"), state["opened"].alias("opened"))
+        return F.struct(
+            (F.try_element_at(block["to"], state["entry"]) - block["cases"]).alias("entry"),
+            (state["opened"] + F.try_element_at(block["hops"], state["entry"])).alias("opened"),
+            F.array_append(state["out"], own).alias("out"),
         )
 
-    packed = lists.withColumn("numbers", F.aggregate("cases", zero, step)["out"])
-    rows = packed.select(
-        "doc_id", F.explode(F.arrays_zip("cases", "numbers")).alias("z")
-    ).select(
-        "doc_id", "z.cases.case_id", "z.cases.start", "z.cases.end", "z.cases.bytes",
-        F.col("z.numbers").alias("batch_no"),
+    return F.aggregate(blocks, zero, step)["out"]
+
+
+def _numbers(jumps: Column, entry: Column, opened: Column) -> Column:
+    """The batch number of every case of a block that batches enter at `entry`."""
+    zero = F.struct(
+        entry.alias("opens"), opened.alias("batch"), F.expr("cast(array() as array<int>)").alias("out")
     )
-    return rows
+
+    def step(state: Column, jump: Column) -> Column:
+        opens = F.size(state["out"]) + 1 == state["opens"]
+        batch = state["batch"] + F.when(opens, 1).otherwise(0)
+        return F.struct(
+            F.when(opens, jump).otherwise(state["opens"]).alias("opens"),
+            batch.alias("batch"),
+            F.array_append(state["out"], batch).alias("out"),
+        )
+
+    return F.aggregate(jumps, zero, step)["out"]
+
+
+def budget_batches(
+    cases: DataFrame, *, max_cases: int = MAX_CASES, max_bytes: int = MAX_INPUT_BYTES,
+    block_cases: int = PACK_BLOCK,
+) -> DataFrame:
+    """Greedy, order-preserving packing: `doc_id, case_id, start, end, bytes, batch_no`.
+
+    A case too big on its own (or of unknown size) gets `batch_no` NULL and leaves the open batch open.
+    Which case opens the next batch depends on running sums alone, so every case has a jump. Blocks of
+    cases follow their jumps in parallel; one small row a block then tells where batches enter it. No
+    document is gathered: of one with n cases, n / `block_cases` such rows meet in a task.
+    """
+    wrapper = len('{"cases":[]}')
+    width = max(block_cases, max_cases)
+    fits = F.coalesce(F.col("bytes") + wrapper <= max_bytes, F.lit(False))
+    rows = cases.select("doc_id", "case_id", "start", "end", "bytes")
+    order = ["start", "end", "case_id", "bytes"]
+    placed = running(
+        rows.where(fits).select(
+            F.struct("doc_id").alias("doc"), *order, F.floor(F.col("start") / PACK_SLICE).alias("part")
+        ),
+        ["doc"], order, "part",
+        place=("sum", F.lit(1)),
+        total=("sum", F.col("bytes").cast("long") + 1),
+    )
+    case = F.struct("place", "total", (F.col("bytes").cast("long") + 1).alias("taken"), *order)
+    block = F.floor((F.col("place") - 1) / width).alias("block")
+    grouped = placed.groupBy("doc", block).agg(F.sort_array(F.collect_list(case)).alias("own"))
+    totals = F.transform("own", lambda c: c["total"])
+    following = F.lead(F.slice(totals, 1, max_cases)).over(Window.partitionBy("doc").orderBy("block"))
+    sums = F.concat(totals, F.coalesce(following, F.expr("cast(array() as array<bigint>)")))
+    jumping = grouped.withColumn("sums", sums).withColumn(
+        "jumps", _jumps(F.col("sums"), F.col("own"), max_bytes - wrapper + 1, max_cases)
+    ).drop("sums")
+    ends = _exits(F.col("jumps"), max(1, math.ceil(math.log2(width))))
+    steps = jumping.select("doc", "block", F.size("own").alias("cases"), ends.alias("ends")).select(
+        "doc", "block", "cases",
+        *[F.slice(F.col("ends")[name], 1, max_cases).alias(name) for name in ("to", "hops")],
+    )
+    entries = (
+        steps.groupBy("doc")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "cases", "to", "hops"))).alias("blocks"))
+        .select("doc", F.inline(_entries(F.col("blocks"))))
+    )
+    numbered = (
+        jumping.join(entries, ["doc", "block"])
+        .select("doc", "own", _numbers(F.col("jumps"), F.col("entry"), F.col("opened")).alias("number"))
+        .select("doc", F.explode(F.arrays_zip("own", "number")).alias("z"))
+    )
+    packed = numbered.select(
+        "doc.doc_id", "z.own.case_id", "z.own.start", "z.own.end", "z.own.bytes", F.col("z.number").alias("batch_no")
+    )
+    return packed.unionByName(rows.where(~fits).withColumn("batch_no", F.lit(None).cast("int")))
 
 
 def batch_ids(batches: DataFrame) -> DataFrame:

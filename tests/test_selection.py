@@ -66,6 +66,40 @@ def test_packing(spark, chain):
     assert {(r.doc_id, r.start): r.batch_no for r in packed} == wanted
 
 
+@pytest.mark.parametrize("block_cases", [3, 7, 1024])
+def test_packing_over_blocks_and_one_long_document(spark, block_cases):
+    rng = random.Random(block_cases)
+    rows, wanted = [], {}
+    for doc, n in [(None, 5), (1, 1), (2, 6), (3, 7), (4, 400 if block_cases < 1024 else 100_000)]:
+        batch, used, held = 1, 0, 0
+        for i in range(n):
+            size = rng.choice([1, 3, 9, 20, 30, 88, 89, 200])
+            rows.append((doc, i * 50, i * 50 + 1, f"case_{i}", size))
+            if size + 12 > 100:
+                wanted[doc, i * 50] = None
+                continue
+            if used and (used == 3 or held + 1 + size + 12 > 100):
+                batch, used, held = batch + 1, 0, 0
+            held += size + (1 if used else 0)
+            used += 1
+            wanted[doc, i * 50] = batch
+    frame = spark.createDataFrame(
+        rows, "doc_id long, start long, end long, case_id string, bytes long"
+    )
+    packed = S.budget_batches(frame, max_cases=3, max_bytes=100, block_cases=block_cases).collect()
+    assert len(packed) == len(rows)
+    assert {(r.doc_id, r.start): r.batch_no for r in packed} == wanted
+
+
+def test_packing_of_no_cases_and_repeated_rows(spark):
+    schema = "doc_id long, start long, end long, case_id string, bytes long, extra string"
+    assert S.budget_batches(spark.createDataFrame([], schema)).count() == 0
+    twice = spark.createDataFrame([(1, 0, 1, "c", 40, "x")] * 5 + [(1, 2, 3, "d", None, "x")], schema)
+    packed = S.budget_batches(twice, max_bytes=100).collect()
+    assert sorted(r.batch_no for r in packed if r.case_id == "c") == [1, 1, 2, 2, 3]
+    assert [r.batch_no for r in packed if r.case_id == "d"] == [None]
+
+
 def test_decision_faults_reject_their_batch_only(spark):
     cases = spark.createDataFrame(
         [(1, f"b{b}", f"case_{c}", ["c1", "c2"]) for b in range(6) for c in range(2)],
