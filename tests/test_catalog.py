@@ -10,7 +10,7 @@ CHEAP = [
     "media_admission", "strict_json", "content_id", "current_pointer", "dangling_refs",
     "retry_chain", "crash_recovery", "artifact_upsert", "checkpoint_upsert", "latency_quantiles", "active_sessions",
     "session_eviction", "challenge_replay", "reputation_audit", "ban_overturn",
-    "operation_dedupe", "key_rotation_lookup", "encrypt_column", "payload_contract", "nested_contract",
+    "operation_dedupe", "key_rotation_lookup", "encrypt_column", "payload_contract", "nested_contract", "content_store",
     "progress_stream", "rate_limit_stream", "batch_infer", "transcripts_utterance_json",
 ]
 
@@ -23,7 +23,7 @@ def plain(value):
 
 def test_every_query_has_an_oracle():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
-    assert len(catalog.QUERIES) == 103
+    assert len(catalog.QUERIES) == 104
 
 
 @pytest.mark.parametrize("key", CHEAP)
